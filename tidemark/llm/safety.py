@@ -220,22 +220,26 @@ def fit(reviewed: list[tuple[str, Counter]], rounds: int = 3) -> Severity:
     weights: dict[str, dict[str, float]] = {}
     low: dict[str, tuple[float, float]] = {}
     for _ in range(rounds):
-        for c in CATEGORIES:
-            k = model.names.index(c)
-            labelled = [(fs, g) for _, fs, votes in texts if (g := grades(votes, c)) is not None]
-            chosen: list[tuple[list[str], int]] = []
-            for fs, g in labelled:
-                if not fs:
-                    continue
-                if g:
+        picked: dict[str, list[tuple[list[str], int]]] = {c: [] for c in CATEGORIES}
+        clean: dict[str, list[tuple[list[str], int]]] = {c: [] for c in CATEGORIES}
+        for _, fs, votes in texts:
+            if not fs:
+                continue
+            totals = [sum((model.table[x] for x in f if x in model.table), nothing) for f in fs]
+            for c in CATEGORIES:
+                k, g = model.names.index(c), grades(votes, c)
+                if g == 0:
+                    clean[c] += [(f, 0) for f in fs]
+                elif g:
                     # a review names one category: the passage that is worst for it and not better explained by another
-                    totals = [sum((model.table[x] for x in f if x in model.table), nothing) for f in fs]
                     lead = [t[k] - 0.7 * max(0.0, *np.delete(t, k)) for t in totals]
                     # a text that another category explains and this one doesn't has a wrong review
                     if max(t[k] for t in totals) > 0.5 or all(t.max() < 2 for t in totals):
-                        chosen.append((fs[int(np.argmax(lead))], g))
-                else:
-                    chosen += [(f, 0) for f in fs]
+                        picked[c].append((fs[int(np.argmax(lead))], g))
+        for c in CATEGORIES:
+            # a passage picked for another category that no word list ties to this one is a case of that one only
+            others = [(f, 0) for o in CATEGORIES if o != c for f, _ in picked[o] if sum(PRIOR[c].get(x, 0.0) for x in f) <= 0.5]
+            chosen = picked[c] + clean[c] + others
             inside: Counter = Counter()
             outside: Counter = Counter()
             for f, g in chosen:

@@ -140,6 +140,20 @@ def short_form(core: str) -> str:
     return m.group() if m else core
 
 
+def without_city(name: str | None, *places: str | None) -> str | None:
+    """`name` without the name of one of the `places` where it ends with one."""
+    if not name:
+        return name
+    words = name.split()
+    folded = [sound(plain(w)) for w in words]
+    for place in places:
+        key = sound(plain(re.split(r"[,;/|(]", place)[0])) if place else ""
+        for k in range(1, min(4, len(words))):
+            if len(key) >= 4 and "".join(folded[-k:]) == key:
+                return " ".join(words[:-k])
+    return name
+
+
 def index_forms(name: Name) -> list[tuple[str, str]]:
     """(form, string) under which a known name is found: full, short, and for people the surname with the first letter."""
     if not name.core:
@@ -162,6 +176,9 @@ def query_forms(name: Name) -> list[tuple[str, str]]:
     if not words or len("".join(words)) < 3:
         return []
     out = [("full", sound("".join(words)))]
+    short = sound(short_form("".join(words)))
+    if not name.person and 5 <= len(short) < len(out[0][1]):
+        out.append(("short", short))
     if name.person and len(words) == 1:
         out.append(("surname", sound(words[0])))
     if 2 <= len(words) <= 3:

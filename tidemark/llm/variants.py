@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.names import index_forms, parse, query_forms
+from tidemark.llm.names import index_forms, parse, query_forms, without_city
 from tidemark.llm.places import resolve_places
 from tidemark.llm.tries import trie_join
 from tidemark.session import materialize
@@ -79,6 +79,15 @@ def with_place(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return rows.join(placed, same, "left").drop("_l", "_l2", "_c2", "_k2").fillna({"place_status": "none", "city_id": 0, "country_id": 0})
 
 
+def _bare(names: pd.Series, cities: pd.Series, locations: pd.Series) -> pd.Series:
+    return pd.Series([without_city(n, c, x) for n, c, x in zip(names, cities, locations, strict=True)], dtype="object")
+
+
+def bare_name(name: str = "name") -> Column:
+    """The typed name without the row's own city or location at its end."""
+    return F.pandas_udf(_bare, "string")(name, "city", "location")
+
+
 def listed_city(entities: DataFrame, places: DataFrame) -> DataFrame:
     """entity_id with the city_id and country_id of its exactly spelled city and country (0 where not listed)."""
     city = places.where("kind = 'city'").groupBy("city", "country").agg(F.min("place_id").alias("city_id"))
@@ -127,7 +136,8 @@ def link(mentions: DataFrame, entities: DataFrame, places: DataFrame) -> DataFra
     values = ["name", "entity_type", "location", "city", "country"]
     distinct = mentions.select(*values).distinct()
     key = F.xxhash64(*[F.coalesce(c, F.lit("\u0000")) for c in values])
-    distinct = materialize(with_place(distinct, places, "name").withColumn("key", key), "placed-names")
+    distinct = with_place(distinct.withColumn("key", key), places, "name").withColumn("name", bare_name())
+    distinct = materialize(distinct, "placed-names")
     candidates = name_candidates(distinct.select("name"), entities)
     facts = listed_city(entities, places).join(entities.select("entity_id", F.col("entity_type").alias("e_type")), "entity_id")
     pairs = distinct.join(candidates, "name").join(facts, "entity_id")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.spelling import grams, plain, sound, within
+from tidemark.session import materialize
 
 #: Jaccard similarity of letter pairs from which a segment is compared further.
 MIN_JACCARD = 0.25
@@ -113,7 +114,7 @@ def similar_spellings(forms: DataFrame, spellings: DataFrame, threshold: float =
             .select(name, "gram", "size", "at")
         )
 
-    q = forms.where("form <> ''").select("form").distinct().withColumn("grams", _grams("form"))
+    q = materialize(forms.where("form <> ''").select("form").distinct().withColumn("grams", _grams("form")), "forms")
     left = prefixes(q, "form").withColumnsRenamed({"size": "size_a", "at": "at_a"})
     right = prefixes(listed, "spelling").withColumnsRenamed({"size": "size_b", "at": "at_b"})
     # |A n B| >= t (|A| + |B|) / (1 + t) bounds both the sizes and the tokens left after a shared position
@@ -148,17 +149,22 @@ def resolve_places(values: DataFrame, places: DataFrame, threshold: float = MIN_
         values.select("location", "city", "country").distinct()
         .withColumn("triple", F.concat_ws("\u0001", *[F.coalesce(c, nul) for c in ("location", "city", "country")]))
     )
-    segments = triples.mapInPandas(_segments, "triple string, field string, raw string, form string").distinct()
+    # both are used several times below: written once instead of worked out again
+    segments = triples.mapInPandas(_segments, "triple string, field string, raw string, form string").select("triple", "raw", "form").distinct()
+    segments = materialize(segments, "segments")
     spellings = places.select("place_id", "kind", "city", "country", "country_code", "alt_names").mapInPandas(
         _spellings, "place_id long, kind string, of_country string, spelling string, grams array<string>"
     )
+    spellings = materialize(spellings, "spellings")
     length = F.length("form")
     # a code must be exact; longer names may hold so many slips
     slips = F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 8, 2).otherwise(3)
-    near = similar_spellings(segments, spellings, threshold).withColumn("slips", _slips("form", "spelling")).where(F.col("slips") <= slips)
+    spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = similar_spellings(segments, spellings, threshold).repartition(spread, "form").withColumn("slips", _slips("form", "spelling")).where(F.col("slips") <= slips)
     best = Window.partitionBy("form").orderBy("slips", F.desc("jaccard"))
     near = near.withColumn("best", F.rank().over(best)).where("best = 1")
     hits = near.join(spellings.drop("grams"), "spelling").select("form", "place_id", "kind", "of_country", "slips", "jaccard").distinct()
+    hits = materialize(hits, "place-hits")
     named = segments.join(hits, "form", "left")
 
     generic = F.col("raw").isin(sorted(NO_PLACE))

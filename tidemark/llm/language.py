@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,31 +64,37 @@ def code_of(label: str | None) -> str | None:
     return CODES.get(base)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words of a text; Thai, which has no spaces, is cut into runs of a few letters."""
-    out = []
-    for token in _TOKEN.findall(unicodedata.normalize("NFC", text)):
-        if any("\u0e00" <= c <= "\u0e7f" for c in token):
-            out += [token[i : i + 4] for i in range(0, len(token), 4)]
-        elif any(c.isalpha() for c in token):
-            out.append(token.casefold())
-    return out
+@lru_cache(maxsize=200_000)
+def _forms(token: str) -> tuple[bool, tuple[str, ...]]:
+    """Whether a token is capitalised, and its words: itself in lower case, or parts of Thai letters; none for numbers."""
+    if not token[:1].isalpha():
+        return False, ()
+    if token[0] > "\u0dff" and any("\u0e00" <= c <= "\u0e7f" for c in token):
+        return False, tuple(token[i : i + 4] for i in range(0, len(token), 4))
+    return token[0].isupper(), (token.casefold(),)
 
 
 def spoken_words(text: str) -> list[str]:
-    """words_of without names: two or more capitalised words in a row, or one inside a sentence of another case."""
-    text = _DECOY.sub("", text)
-    tokens = _TOKEN.findall(unicodedata.normalize("NFC", text))
-    capital = [t[:1].isupper() for t in tokens]
-    n, out = len(tokens), []
-    for k, token in enumerate(tokens):
-        if capital[k] and ((k + 1 < n and capital[k + 1]) or (k > 0 and capital[k - 1])) and not (len(token) == 1):
-            continue
-        if token[:1].isalpha():
-            if any("\u0e00" <= c <= "\u0e7f" for c in token):
-                out += [token[i : i + 4] for i in range(0, len(token), 4)]
-            else:
-                out.append(token.casefold() if k == 0 or not capital[k] else "\u0001" + token.casefold())
+    """Words without names: two or more capitalised words in a row are one, a single one inside is marked as doubtful."""
+    if ":" in text:
+        text = _DECOY.sub("", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    tokens = _TOKEN.findall(text)
+    forms = [_forms(t) for t in tokens]
+    out: list[str] = []
+    before = False
+    last = len(forms) - 1
+    for k, (capital, words) in enumerate(forms):
+        if capital:
+            if (before or (k < last and forms[k + 1][0])) and len(tokens[k]) > 1:
+                before = True
+                continue
+            before = True
+            out.append(words[0] if k == 0 else "\u0001" + words[0])
+        else:
+            before = False
+            out += words
     return out
 
 
@@ -107,9 +114,10 @@ class Centroids:
     def __init__(self, languages: list[str], owner: np.ndarray, vocab: dict[str, int], idf: np.ndarray, matrix: np.ndarray, known: frozenset[str]):
         self.languages, self.owner, self.vocab, self.idf, self.matrix, self.known = languages, owner, vocab, idf, matrix, known
         self.words: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
+        self.met: dict[str, list[tuple[int, list[str], float, float]]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"words": {}}
+        return self.__dict__ | {"words": {}, "met": {}}
 
     def word(self, word: str) -> tuple[np.ndarray, np.ndarray, float]:
         """Dot products with the centroids, cosine by language, squared length; zeros for a name."""
@@ -149,7 +157,16 @@ class Centroids:
         return best, top, (top - float(by.max())) / top if top > 0 else 0.0
 
     def runs(self, words: list[str]) -> list[tuple[int, list[str], float, float]]:
-        """Runs of one language: (language, words, cosine, lead)."""
+        """Runs of one language: (language, words, cosine, lead); kept for word sequences met before."""
+        key = " ".join(words)
+        found = self.met.get(key)
+        if found is None:
+            if len(self.met) > 200_000:
+                self.met.clear()
+            found = self.met[key] = self._runs(words)
+        return found
+
+    def _runs(self, words: list[str]) -> list[tuple[int, list[str], float, float]]:
         if not words or not self.languages:
             return []
         by = np.array([self.word(w)[1] for w in words])

@@ -43,6 +43,7 @@ PAUSED = frozenset("este cioè matlab yani né tipo คือ".split())
 _TIME = re.compile(r"^\s*(?:[\[(]\s*)?\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*(?:[\])])?\s*(?:-\s+)?")
 _ARROWS = re.compile(r"^\s*(?:>>+|»|-)\s*")
 _BRACKET = re.compile(r"<v\s+([^>]{1,60})>|[\[(<]([^\[\]()<>]{1,60})[\])>]\s*:?|\*[^*]{1,60}\*|♪+[^♪]*♪+|♪+")
+_MARKED = re.compile(r"[\[(<*♪>]|:\s|\s-\s")
 _COLON = re.compile(r"\s*(?::\s|\s-\s)")
 _SPACE = re.compile(r"\s+")
 _NAMEWORD = re.compile(r"[^\s,;:!?()\[\]<>]+")
@@ -87,6 +88,7 @@ def speaker_of(label: str, speakers: tuple[str, ...]) -> int:
     return found[1] if found else 0
 
 
+@lru_cache(maxsize=200_000)
 def is_hesitation(word: str) -> bool:
     bare = word.strip(".,!?…;:-\"'“”").lower()
     return bare in HESITATIONS or (bare in PAUSED and word[-1:] in ",…." and word != bare)
@@ -102,8 +104,11 @@ def cut_segment(text: str | None, speakers: tuple[str, ...]) -> list[tuple[int,
     """The pieces of a segment as (speaker_no or 0 for 'as before', clean text); a label without words gives ''."""
     if not text:
         return []
-    rest = _SPACE.sub(" ", text).strip()
+    rest = " ".join(text.split())
     rest = _TIME.sub("", rest, count=1)
+    if not _MARKED.search(rest):  # no label, no annotation: one piece
+        said = clean(_arrows(rest))
+        return [(0, said)] if said else []
     marks: list[tuple[int, int, int]] = []  # from, to, speaker (-1: annotation)
     for m in _BRACKET.finditer(rest):
         label = m.group(1) or m.group(2)

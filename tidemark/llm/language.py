@@ -21,8 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.turns import current_videos, cut_segment
@@ -204,13 +204,14 @@ class Centroids:
         return out
 
 
-def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int = 8, seed: int = 7) -> Centroids:
-    """Centroids from (label, text) pairs; wrong labels are outvoted in their clusters."""
+def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, rounds: int = 8, seed: int = 7) -> Centroids:
+    """Centroids from (label, text, weight) rows; weight is the number of rows a row stands for. Wrong labels are outvoted in their clusters."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[str, Counter]] = []
+    weights: list[float] = []
     spread: Counter = Counter()
     known: Counter = Counter()
-    for label, text in samples:
+    for label, text, weight in samples:
         code = code_of(label)
         words = [w for w in spoken_words(text) if w[:1] != "\u0001"]
         for k in range(0, len(words), 25):
@@ -218,6 +219,7 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
             if code and (len(part) >= 5 or k == 0) and part:
                 counts = Counter(f for w in part for f in features(w))
                 rows.append((code, counts))
+                weights.append(weight)
                 spread.update(counts.keys())
                 known.update(set(part))
     if not rows:
@@ -256,12 +258,12 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
     votes: dict[int, Counter] = defaultdict(Counter)
     sizes = Counter(labels)
     for r in range(len(rows)):
-        votes[at[r]][labels[r]] += 1
+        votes[at[r]][labels[r]] += weights[r]
     owners = {c: max(v.items(), key=lambda x: (x[1], sizes[x[0]], x[0]))[0] for c, v in votes.items()}
     # a language is one whose own texts mostly lie in clusters that it owns; other labels are wrong ones
     home = Counter(labels[r] for r in range(len(rows)) if owners[at[r]] == labels[r])
-    real = sorted(c for c in sizes if home[c] > 0.5 * sizes[c])
-    good = [c for c in sorted(owners) if owners[c] in real and sum(votes[c].values()) >= 2]
+    real = sorted(str(c) for c in sizes if home[c] > 0.5 * sizes[c])
+    good = [c for c in sorted(owners) if owners[c] in real and at.tolist().count(c) >= 2]
     owner = np.array([real.index(owners[c]) for c in good])
     return Centroids(real, owner, vocab, idf, np.ascontiguousarray(matrix[:, good]), frozenset(w for w, n in known.items() if n > 1))
 
@@ -272,41 +274,57 @@ def model(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Centroids:
     every = F.greatest(F.lit(1), F.floor(F.col("n") / per_label))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), every) == 0).where(F.length("text") < 20_000)
-    rows = sample.select("lang", "text", "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id").limit(per_label * 60).collect()
-    return fit([(r.lang, r.text) for r in rows])
+    rows = sample.select("lang", "text", every.cast("double").alias("weight"), "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id").limit(per_label * 60).collect()
+    return fit([(r.lang, r.text, r.weight) for r in rows])
 
 
-def _detect(shared) -> object:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _detect(shared, texts: bool):
+    """Batches of (video_id, segment_index, text, speakers as one string) to batches of runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids: Centroids = shared.value
-        names = ["video_id", "segment_index", "part", "lang", "words", "confidence", "text"]
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                speakers = tuple(s or "" for s in r.speakers) if r.speakers is not None else ()
-                text = " ".join(p for _, p in cut_segment(r.text, speakers))
-                for k, (best, said, cosine, lead) in enumerate(centroids.runs(spoken_words(text))):
+        codes = [str(c) for c in centroids.languages]
+        for batch in batches:
+            videos, indexes, langs, words, confidence, said_texts = [], [], [], [], [], []
+            columns = (batch.column(k).to_pylist() for k in range(4))
+            for video, index, text, credits in zip(*columns, strict=True):
+                parts = cut_segment(text, _speakers(credits))
+                spoken_text = parts[0][1] if len(parts) == 1 else " ".join(p for _, p in parts)
+                for best, said, cosine, lead in centroids.runs(spoken_words(spoken_text)):
                     if cosine >= MIN_COSINE:
-                        out.append((r.video_id, r.segment_index, k, centroids.languages[best], len(said), round(min(1.0, 0.5 + lead), 4), " ".join(said)))
-            yield pd.DataFrame(out, columns=names)
+                        videos.append(video)
+                        indexes.append(index)
+                        langs.append(codes[best])
+                        words.append(len(said))
+                        confidence.append(round(min(1.0, 0.5 + lead), 4))
+                        said_texts.append(" ".join(said).replace("\u0001", "") if texts else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(videos, pa.string()), pa.array(indexes, pa.int32()), pa.array(langs, pa.string()), pa.array(words, pa.int32()),
+                 pa.array(confidence, pa.float64()), pa.array(said_texts, pa.string())],
+                ["video_id", "segment_index", "lang", "words", "confidence", "text"],
+            )
 
     return run
 
 
-def segment_languages(videos: DataFrame, transcripts: DataFrame, documents: DataFrame) -> DataFrame:
-    """Runs of one language in every segment: video_id, segment_index, part, lang, words, confidence, text."""
-    spark = transcripts.sparkSession
-    shared = spark.sparkContext.broadcast(model(documents))
-    who = current_videos(videos)
+@lru_cache(maxsize=50_000)
+def _speakers(credits: str | None) -> tuple[str, ...]:
+    return tuple(credits.split("\u0001")) if credits else ()
+
+
+def segment_languages(videos: DataFrame, transcripts: DataFrame, documents: DataFrame, texts: bool = True) -> DataFrame:
+    """Runs of one language in every segment: video_id, segment_index, lang, words, confidence, text (null unless `texts`)."""
+    shared = transcripts.sparkSession.sparkContext.broadcast(model(documents))
+    who = current_videos(videos).select("video_id", F.array_join("speakers", "\u0001", "").alias("credits"))
     rows = transcripts.where("text is not null").groupBy("video_id", "segment_index").agg(F.min("text").alias("text")).join(who, "video_id", "left")
-    return rows.mapInPandas(_detect(shared), "video_id string, segment_index int, part int, lang string, words int, confidence double, text string")
+    return rows.mapInArrow(_detect(shared, texts), "video_id string, segment_index int, lang string, words int, confidence double, text string")
 
 
 def spoken(runs: DataFrame) -> DataFrame:
     """Languages spoken in a segment: video_id, segment_index, lang, words, confidence; short runs beside longer ones don't count."""
-    per = runs.groupBy("video_id", "segment_index", "lang").agg(F.sum("words").alias("words"), F.max("confidence").alias("confidence"))
-    most = runs.groupBy("video_id", "segment_index").agg(F.max("words").alias("most"))
-    return per.join(most, ["video_id", "segment_index"]).where((F.col("words") >= MIN_RUN) | (F.col("words") >= F.col("most"))).drop("most")
+    per = runs.groupBy("video_id", "segment_index", "lang").agg(F.sum("words").cast("int").alias("words"), F.max("confidence").alias("confidence"))
+    most = F.max("words").over(Window.partitionBy("video_id", "segment_index"))
+    return per.withColumn("most", most).where((F.col("words") >= MIN_RUN) | (F.col("words") == F.col("most"))).drop("most")
 
 
 def main_language(said: DataFrame) -> DataFrame:
@@ -318,7 +336,7 @@ def main_language(said: DataFrame) -> DataFrame:
 
 def video_languages(videos: DataFrame, transcripts: DataFrame, documents: DataFrame) -> DataFrame:
     """Every video with words: video_id, label (as given), labelled (code or null), lang, confidence."""
-    main = main_language(spoken(segment_languages(videos, transcripts, documents)))
+    main = main_language(spoken(segment_languages(videos, transcripts, documents, texts=False)))
     return _labels(videos).join(main, "video_id").select("video_id", "label", "labelled", F.col("main").alias("lang"), F.round("share", 4).alias("confidence"))
 
 
@@ -334,7 +352,7 @@ def found(videos: DataFrame, transcripts: DataFrame, documents: DataFrame) -> Da
     """p2_found: videos with a missing or wrong label (segment_index -1) and the languages of segments not wholly in the main one."""
     from tidemark.session import materialize
 
-    said = materialize(spoken(segment_languages(videos, transcripts, documents)).select("video_id", "segment_index", "lang", "words"), "spoken")
+    said = materialize(spoken(segment_languages(videos, transcripts, documents, texts=False)).select("video_id", "segment_index", "lang", "words"), "spoken")
     main = main_language(said)
     wrong = _labels(videos).join(main, "video_id").where(~F.col("labelled").eqNullSafe(F.col("main")))
     head = wrong.select("video_id", F.lit(-1).alias("segment_index"), F.col("main").alias("lang"))

@@ -88,11 +88,12 @@ class History:
     def __init__(self, spark, where: str | None = None):
         self.spark, self.where = spark, where or scratch_path(spark, "history")
 
-    def append(self, forms: DataFrame) -> None:
-        """Add accepted records: a row per form with the columns of FACTS."""
+    def append(self, forms: DataFrame, keys: DataFrame | None = None) -> None:
+        """Add accepted records: a row per form with the columns of FACTS, and their keys if worked out already."""
         names = [c.split()[0] for c in self.FACTS.split(", ")]
         forms.select(*names).write.mode("append").parquet(f"{self.where}/facts")
-        _index_rows(forms).write.mode("append").partitionBy("part").parquet(f"{self.where}/keys")
+        keys = _index_rows(forms) if keys is None else keys
+        keys.select("key", "record", "text", "part").write.mode("append").partitionBy("part").parquet(f"{self.where}/keys")
 
     def facts(self) -> DataFrame:
         return self.spark.read.schema(self.FACTS).parquet(f"{self.where}/facts")
@@ -135,8 +136,13 @@ def _verified(queries: DataFrame, query_keys: DataFrame, known_keys: DataFrame,
     return pairs.where(fits & kinds & types & cities & lands & listed & sure).groupBy("record", "known").agg(F.min(cost).alias("cost"))
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("record").agg(F.min(F.struct("cost", "known")).alias("b")).select("record", F.col("b.known").alias("known"))
+def _best(pairs: DataFrame, batch: DataFrame) -> DataFrame:
+    """For each record its best partner in the history, and its best one in its own batch: record, known, near."""
+    mine = batch.select(F.col("record").alias("known"), F.lit(True).alias("mine"))
+    pairs = pairs.join(mine, "known", "left")
+    ranked = F.struct("cost", "known")
+    best = pairs.groupBy("record").agg(F.min(F.when(F.col("mine").isNull(), ranked)).alias("k"), F.min(F.when(F.col("mine"), ranked)).alias("n"))
+    return best.select("record", F.col("k.known").alias("known"), F.when(F.col("k").isNull(), F.col("n.known")).alias("near"))
 
 
 def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, where: str | None = None) -> DataFrame:
@@ -171,26 +177,29 @@ def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, wher
     o_keys = materialize(_index_rows(own).join(leads.select("record", "batch_no"), "record"), "own-keys", ["batch_no"])
 
     verdicts = scratch_path(spark, "verdicts")
-    for batch in sorted(r.batch_no for r in rows.select("batch_no").distinct().collect()):
+    batches = sorted(r.batch_no for r in rows.select("batch_no").distinct().collect())
+    for batch in batches:
         this = F.col("batch_no") == batch
         queries, keys = kept.where(this).drop("batch_no"), q_keys.where(this).drop("batch_no")
-        known = _best(_verified(queries, keys, history.keys(), history.facts()))
-        among = _best(_verified(queries, keys, o_keys.where(this).drop("batch_no"), own.where(this).drop("batch_no")))
-        found = leads.where(this).select("record").join(known, "record", "left").join(among.withColumnRenamed("known", "near"), "record", "left")
+        own_keys, own_forms = o_keys.where(this).drop("batch_no"), own.where(this).drop("batch_no")
+        pairs = _verified(queries, keys, history.keys().unionByName(own_keys), history.facts().unionByName(own_forms))
+        met = _best(pairs, leads.where(this).select("record"))
+        met.write.parquet(f"{verdicts}/met-{batch}")
+        met = spark.read.schema("record long, known long, near long").parquet(f"{verdicts}/met-{batch}")
         # a record that only meets others of its batch is what the first of them is
-        root = found.select("record", "known", F.when(F.col("known").isNull(), F.col("near")).alias("near"))
+        root = leads.where(this).select("record").join(met, "record", "left")
         for _ in range(3):
             up = root.select(F.col("record").alias("near"), F.col("known").alias("up_known"), F.col("near").alias("up_near"))
             root = root.join(up, "near", "left").select(
                 "record", F.coalesce("known", "up_known").alias("known"), F.when(F.coalesce("known", "up_known").isNull(), F.coalesce("up_near", "near")).alias("near")
             )
         verdict = root.select("record", F.coalesce("known", "near").alias("known_id"))
-        verdict.write.mode("append").parquet(f"{verdicts}/{batch}")
-        fresh = spark.read.parquet(f"{verdicts}/{batch}").where("known_id is null").select("record")
-        history.append(own.where(this).join(fresh, "record", "left_semi"))
-    if not spark._jvm.org.apache.hadoop.fs.Path(verdicts).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(verdicts)):
+        verdict.write.parquet(f"{verdicts}/told-{batch}")
+        fresh = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/told-{batch}").where("known_id is null").select("record")
+        history.append(own_forms.join(fresh, "record", "left_semi"), own_keys.join(fresh, "record", "left_semi"))
+    if not batches:
         return rows.select(F.col("record").alias("intake_id"), "batch_no", F.lit(None).cast("long").alias("known_id"))
-    told = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/*").withColumnRenamed("record", "first")
+    told = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/told-*").withColumnRenamed("record", "first")
     out = rows.join(told, "first", "left")
     named = kept.select(F.col("record").alias("first")).distinct().withColumn("named", F.lit(True))
     # an equal row after the first repeats what the first is

@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.turns import current_videos, cut_segment
 
 #: Labelled documents of each label that the centroids are fitted on (about; by hash of doc_id).
-SAMPLE_PER_LABEL = 500
+SAMPLE_PER_LABEL = 300
 #: Centroids that each label starts with.
 CENTROIDS = 4
+#: Share of a cluster's votes that its language must have for the centroid to stay.
+PURITY = 0.85
 #: Features kept, by document frequency.
 FEATURES = 40_000
 #: Weight of a whole word beside its letter n-grams.
-WORD_WEIGHT = 3.0
+WORD_WEIGHT = 2.0
 #: Cosine to the nearest centroid under which a run has no known language.
 MIN_COSINE = 0.08
 #: Cost of a change of language between two words of a segment, in units of a clear word's lead.
@@ -114,6 +116,10 @@ class Centroids:
     def __init__(self, languages: list[str], owner: np.ndarray, vocab: dict[str, int], idf: np.ndarray, matrix: np.ndarray, known: frozenset[str]):
         self.languages, self.owner, self.vocab, self.idf, self.matrix, self.known = languages, owner, vocab, idf, matrix, known
         self.words: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
+        # centroids of a language lie together, so that a language's best is one slice's maximum
+        order = np.argsort(owner, kind="stable")
+        self.owner, self.matrix = owner[order], np.ascontiguousarray(matrix[:, order]) if len(order) else matrix
+        self.starts = np.searchsorted(self.owner, np.arange(len(languages)))
         self.met: dict[str, list[tuple[int, list[str], float, float]]] = {}
 
     def __getstate__(self):
@@ -132,9 +138,7 @@ class Centroids:
                     weights = self.idf[ids]
                     dot = weights @ self.matrix[ids]
                     square = float(weights @ weights)
-            by = np.zeros(len(self.languages), np.float32)
-            if square:
-                np.maximum.at(by, self.owner, dot / square**0.5)
+            by = np.maximum(np.maximum.reduceat(dot, self.starts), 0) / (square**0.5 or 1.0)
             if len(self.words) > 300_000:
                 self.words.clear()
             found = self.words[word] = (dot, by, square)
@@ -142,15 +146,12 @@ class Centroids:
 
     def nearest(self, words: list[str]) -> tuple[int, float, float]:
         """Language of the nearest centroid, its cosine, and its lead over the next language (0 to 1)."""
-        dot, square = np.zeros(len(self.owner), np.float32), 0.0
-        for w, n in Counter(words).items():
-            d, _, s = self.word(w)
-            dot = dot + n * d
-            square += n * n * s
-        by = np.zeros(len(self.languages), np.float32)
+        known = [self.word(w) for w in words]
+        square = sum(k[2] for k in known)
         if not square:
             return 0, 0.0, 0.0
-        np.maximum.at(by, self.owner, dot / square**0.5)
+        dot = np.add.reduce([k[0] for k in known])
+        by = np.maximum(np.maximum.reduceat(dot, self.starts), 0) / square**0.5
         best = int(by.argmax())
         top = float(by[best])
         by[best] = 0
@@ -204,7 +205,7 @@ class Centroids:
         return out
 
 
-def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, rounds: int = 8, seed: int = 7) -> Centroids:
+def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, rounds: int = 6, seed: int = 7) -> Centroids:
     """Centroids from (label, text, weight) rows; weight is the number of rows a row stands for. Wrong labels are outvoted in their clusters."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[str, Counter]] = []
@@ -225,9 +226,18 @@ def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, round
     if not rows:
         return Centroids([], np.zeros(0, int), {}, np.zeros(0), np.zeros((0, 0)), frozenset())
     vocab = {f: k for k, (f, n) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:FEATURES]) if n > 1 or len(rows) < 50}
-    # a whole word says more than the letters it shares with related languages
-    idf = np.array([(np.log((1 + len(rows)) / (1 + spread[f])) + 0.1) * (WORD_WEIGHT if f[:2] == "w:" else 1) for f in vocab], np.float32)
     labels = np.array([c for c, _ in rows])
+    # a whole word says more than the letters it shares with related languages, and a feature of many languages little
+    names = sorted(set(labels.tolist()))
+    share = np.full((len(vocab), len(names)), 1e-6)
+    for code, counts in rows:
+        share[[vocab[f] for f in counts if f in vocab], names.index(code)] += 1.0
+    share /= np.array([max(1, int((labels == c).sum())) for c in names])[None, :]
+    share /= share.sum(axis=1, keepdims=True)
+    clear = 1 + (share * np.log(share)).sum(axis=1) / np.log(max(2, len(names)))
+    whole = np.array([WORD_WEIGHT if f[:2] == "w:" else 1.0 for f in vocab])
+    idf = np.array([np.log((1 + len(rows)) / (1 + spread[f])) + 0.1 for f in vocab])
+    idf = (idf * whole * (0.1 + clear)).astype(np.float32)
     index, data, ptr = [], [], [0]
     for _, counts in rows:
         got = [(vocab[f], n) for f, n in counts.items() if f in vocab]
@@ -263,7 +273,12 @@ def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, round
     # a language is one whose own texts mostly lie in clusters that it owns; other labels are wrong ones
     home = Counter(labels[r] for r in range(len(rows)) if owners[at[r]] == labels[r])
     real = sorted(str(c) for c in sizes if home[c] > 0.5 * sizes[c])
-    good = [c for c in sorted(owners) if owners[c] in real and at.tolist().count(c) >= 2]
+    # a centroid between languages, of mixed or wrongly labelled texts, would draw both: only clear ones stay
+    members = Counter(at.tolist())
+    clear = {c for c, v in votes.items() if v[owners[c]] >= PURITY * sum(v.values()) and members[c] >= 2}
+    best = {code: max((c for c in owners if owners[c] == code), key=lambda c: votes[c][code]) for code in real if code in owners.values()}
+    real = [code for code in real if code in best]
+    good = [c for c in sorted(owners) if owners[c] in real and (c in clear or c == best[owners[c]])]
     owner = np.array([real.index(owners[c]) for c in good])
     return Centroids(real, owner, vocab, idf, np.ascontiguousarray(matrix[:, good]), frozenset(w for w, n in known.items() if n > 1))
 

@@ -1 +1,62 @@
-"""Queries."""
+"""Scalar functions over whole columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import parsing
+from tidemark.functions.text import city_key, normalize_location, normalize_name, url_hash, video_id
+from tidemark.plans.catalog import register
+from tidemark.session import table
+
+
+@register("""select distinct source_url, regexp_extract(source_url, '(?:v=|youtu\\.be/|embed/|shorts/)([A-Za-z0-9_-]{11})', 1) as id, substr(md5(regexp_replace(regexp_replace(lower(source_url), '[?#].*$', ''), '/+$', '')), 1, 8) as hash from videos where source_url is not null""")
+def content_id(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("source_url")
+    return table(spark, d, "videos").where(u.isNotNull()).select(u, video_id(u).alias("id"), url_hash(u).alias("hash")).distinct()
+
+
+@register("""with l as (select distinct location from extracted_entities where location is not null), p as (select location, list_filter(list_transform(string_split(location, ','), lambda x: trim(x)), lambda x: x <> '') as p from l)
+select location, case when len(p) = 0 then '' when len(p) >= 2 then p[1] else p[1] end as city, case when len(p) >= 2 then p[len(p)] else '' end as country from p""")
+def parse_location(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities").where("location is not null").select("location").distinct()
+    city, country = parsing.city_country(F.col("location"))
+    return rows.select("location", city.alias("city"), country.alias("country"))
+
+
+@register("""select canonical_name, substr(regexp_replace(lower(canonical_name), '[^a-z0-9]', '', 'g'), 1, 15) as key, count(*) as n from canonical_entities group by all""")
+def city_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "canonical_entities").groupBy("canonical_name", city_key(F.col("canonical_name")).alias("key")).agg(F.count("*").alias("n"))
+
+
+@register("""with n as (select distinct entity_name as e from entity_intake where entity_name is not null) select e as entity_name, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(e), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')), '^the ', ''), '^a ', ''), '^an ', '') as name from n""")
+def registry_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "entity_intake").where("entity_name is not null").select("entity_name").distinct()
+    return rows.select("entity_name", normalize_name(F.col("entity_name")).alias("name"))
+
+
+@register("""select p_partkey, case when p_size % 3 = 0 then p_size || ' minutes' when p_size % 3 = 1 then p_size || ' hours' else 'PT' || p_size || 'M' end as text,
+case when p_size % 3 = 0 then p_size when p_size % 3 = 1 then p_size * 60 else p_size end::int as minutes from part""")
+def duration_minutes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(n, F.lit(" minutes"))).when(F.col("p_size") % 3 == 1, F.concat(n, F.lit(" hours"))).otherwise(F.concat(F.lit("PT"), n, F.lit("M")))
+    return table(spark, d, "part").select("p_partkey", text.alias("text")).withColumn("minutes", parsing.minutes(F.col("text")))
+
+
+@register("""select distinct cost_mentioned, coalesce(try_cast(regexp_extract(cost_mentioned, '([0-9]+)', 1) as double), 0) as low, coalesce(try_cast(regexp_extract(cost_mentioned, '[0-9]+ *- *([0-9]+)', 1) as double), try_cast(regexp_extract(cost_mentioned, '([0-9]+)', 1) as double), 0) as high from extracted_entities where cost_mentioned is not null""")
+def cost_range(spark: SparkSession, d: str) -> DataFrame:
+    low, high = parsing.cost_range(F.col("cost_mentioned"))
+    return table(spark, d, "extracted_entities").where("cost_mentioned is not null").select("cost_mentioned").distinct().select("cost_mentioned", low.alias("low"), high.alias("high"))
+
+
+@register("""select c_mktsegment || '_' || case when c_acctbal < 0 then 'budget' when c_acctbal < 5000 then 'mid-range' else 'luxury' end as profile_key, count(*) as n from customer group by 1""")
+def profile_keys(spark: SparkSession, d: str) -> DataFrame:
+    tier = F.when(F.col("c_acctbal") < 0, "budget").when(F.col("c_acctbal") < 5000, "mid-range").otherwise("luxury")
+    return table(spark, d, "customer").groupBy(F.concat_ws("_", "c_mktsegment", tier).alias("profile_key")).agg(F.count("*").alias("n"))
+
+
+@register("""with l as (select distinct location from extracted_entities where location is not null and regexp_full_match(location, '[\\x00-\\x7F]*')) select location, trim(regexp_replace(regexp_replace(regexp_replace(lower(location), '[,.\\-]', ' ', 'g'), '[^a-z0-9\\s\\-'']', '', 'g'), '\\s+', ' ', 'g')) as normalized from l""")
+def normalized_locations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "extracted_entities").where("location is not null").where(F.col("location").rlike(r"^[\x00-\x7F]*$")).select("location").distinct()
+    return rows.select("location", normalize_location(F.col("location")).alias("normalized"))

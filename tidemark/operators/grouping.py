@@ -16,21 +16,21 @@ def exact_groups(rows: DataFrame, name: str, location: str, kind: str, row_id: s
 
 
 def _ranked(rows: DataFrame, group: str, name: str) -> DataFrame:
-    n = rows.where(F.col(name).isNotNull()).groupBy(group, name).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(group).orderBy(F.desc("n"), F.desc(F.length(name)), name)
-    return n.withColumns({"at": F.row_number().over(order), "k": F.count("*").over(Window.partitionBy(group))})
+    n = rows.where(F.col(name).isNotNull()).groupBy(group, name).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(group).orderBy(F.desc("_n"), F.desc(F.length(name)), name)
+    return n.withColumns({"_at": F.row_number().over(order), "_k": F.count("*").over(Window.partitionBy(group))})
 
 
 def mode_name(rows: DataFrame, group: str, name: str) -> DataFrame:
-    """Most frequent name of each group; ties go to the longest, then to the first in order."""
-    return _ranked(rows, group, name).where("at = 1").select(group, name, F.col("n").alias("name_count"), (F.col("k") - 1).alias("alternatives"))
+    """Most frequent name of each group; ties go to the longest, then to the first in order. Null names don't count."""
+    return _ranked(rows, group, name).where("_at = 1").select(group, name, F.col("_n").alias("name_count"), (F.col("_k") - 1).alias("alternatives"))
 
 
 def alias_sets(rows: DataFrame, group: str, name: str) -> DataFrame:
     """mode_name with the other names, sorted and joined by a bar."""
     ranked = _ranked(rows, group, name)
-    others = F.array_join(F.array_sort(F.collect_set(F.when(F.col("at") > 1, F.col(name)))), "|")
-    return ranked.groupBy(group).agg(F.max(F.when(F.col("at") == 1, F.col(name))).alias(name), others.alias("aliases"))
+    others = F.array_join(F.array_sort(F.collect_set(F.when(F.col("_at") > 1, F.col(name)))), "|")
+    return ranked.groupBy(group).agg(F.max(F.when(F.col("_at") == 1, F.col(name))).alias(name), others.alias("aliases"))
 
 
 def frequent_values(rows: DataFrame, key: str, values: str, position: str, out: str) -> DataFrame:

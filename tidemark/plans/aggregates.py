@@ -213,14 +213,14 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""with r(l_returnflag, rate) as (values ('A', 0.15), ('N', 0.6), ('R', 2.5)), c as (select l_returnflag, count(*) as calls, sum(l_quantity) * any_value(rate) / 1000 as cost from lineitem join r using (l_returnflag) group by 1)
-select l_returnflag as provider, calls, round(cost, 4) as cost, round(100 * cost / sum(cost) over (), 4) as pct, case when cost > 0.8 * sum(cost) over () then 'warn' else 'ok' end as budget from c""")
+select l_returnflag as provider, calls, round(cost, 2) as cost, round(100 * cost / sum(cost) over (), 4) as pct, case when cost > 0.8 * sum(cost) over () then 'warn' else 'ok' end as budget from c""")
 def cost_tracker(spark: SparkSession, d: str) -> DataFrame:
     rates = spark.createDataFrame([("A", 0.15), ("N", 0.6), ("R", 2.5)], "l_returnflag string, rate double")
     c = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("calls"), F.sum("l_quantity").alias("units")).join(F.broadcast(rates), "l_returnflag")
     cost = F.col("units") * F.col("rate") / 1000
     total = F.sum("raw").over(Window.partitionBy(F.lit(1)))
     return c.withColumn("raw", cost).select(
-        F.col("l_returnflag").alias("provider"), "calls", F.round("raw", 4).alias("cost"), F.round(100 * F.col("raw") / total, 4).alias("pct"),
+        F.col("l_returnflag").alias("provider"), "calls", F.round("raw", 2).alias("cost"), F.round(100 * F.col("raw") / total, 4).alias("pct"),
         F.when(F.col("raw") > 0.8 * total, "warn").otherwise("ok").alias("budget"),
     )
 

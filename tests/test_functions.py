@@ -137,3 +137,33 @@ def test_scans_read_only_what_they_need(spark, small, query):
 
     plan = queries()[query](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "created_at" not in plan
+
+
+def test_greedy_clusters_and_diversity_equal_plain_loops(spark):
+    from tidemark.operators import sequential
+
+    rng = random.Random(5)
+    points = [(10 + rng.uniform(0, 0.2), 20 + rng.uniform(0, 0.2)) for _ in range(150)]
+    seeds, want = [], []
+    for p in points:
+        hit = next((k for k, s in enumerate(seeds) if sequential._km(s, p) <= 2.0), None)
+        if hit is None:
+            seeds.append(p)
+            hit = len(seeds) - 1
+        want.append(hit)
+    assert sequential.greedy(points, 2.0) == want
+    rows = [("c", rng.choice("xyz"), rng.random(), k) for k in range(40)]
+    taken, expect = {}, []
+    for _, kind, _, k in sorted(rows, key=lambda r: -r[2]):
+        taken[kind] = taken.get(kind, 0) + 1
+        if taken[kind] <= 3:
+            expect.append(k)
+    got = sequential.diversify(spark.createDataFrame(rows, "c string, t string, s double, k long"), "c", "t", "s", "k", 3).orderBy("rank").collect()
+    assert [r.k for r in got] == expect
+
+
+def test_word_correction(spark):
+    from tidemark.operators import sequential
+
+    typed, known = spark.createDataFrame([("chiangmai",), ("bangkok",), ("zzz",)], "w string"), spark.createDataFrame([("chiang mai",), ("bangkok",)], "k string")
+    assert [(r.w, r.k) for r in sequential.correct_words(typed, known, "w", "k", 0.85).collect()] == [("chiangmai", "chiang mai")]

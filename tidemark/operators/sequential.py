@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import ratio_udf
@@ -69,11 +69,11 @@ def correct_words(typed: DataFrame, known: DataFrame, word: str, target: str, le
 
     Words that are known already stay out; ties go to the first in order.
     """
-    def keys(c: str):
+    def keys(c: str) -> Column:
         x = F.col(c)
         return F.array_distinct(F.array(*[F.concat(F.lit(f"{i}"), F.substring(x, p, 2)) for i, p in (("a", 1), ("b", 2), ("y", -2), ("z", -3))]))
 
-    pairs = typed.join(known, typed[word] == known[target], "left_anti").withColumn("k", F.explode(keys(word))).join(known.withColumn("k", F.explode(keys(target))), "k")
+    pairs = typed.join(known, typed[word] == known[target], "left_anti").withColumn("_piece", F.explode(keys(word))).join(known.withColumn("_piece", F.explode(keys(target))), "_piece")
     pairs = pairs.where(F.abs(F.length(word) - F.length(target)) <= 0.3 * F.length(target)).select(word, target).distinct()
-    scored = pairs.withColumn("ratio", F.round(ratio_udf("sequence")(word, target), 6)).where(F.col("ratio") >= least)
-    return scored.groupBy(word).agg(F.min_by(F.struct(target, "ratio"), F.struct(-F.col("ratio"), target)).alias("b")).select(word, f"b.{target}", "b.ratio")
+    scored = pairs.withColumn("_ratio", F.round(ratio_udf("sequence")(word, target), 6)).where(F.col("_ratio") >= least)
+    return scored.groupBy(word).agg(F.min_by(F.struct(F.col(target), F.col("_ratio").alias("ratio")), F.struct(-F.col("_ratio"), target)).alias("b")).select(word, f"b.{target}", "b.ratio")

@@ -76,12 +76,12 @@ def top_common(spark: SparkSession, d: str) -> DataFrame:
 
 
 # lower case of the 26 letters only: the engines differ on rarer ones
-_CONTENT = f"md5(trim(regexp_replace(translate(text, '{UPPER}', '{UPPER.lower()}'), '[ \\t\\r\\n]+', ' ', 'g')))"
+_CONTENT = f"md5(regexp_replace(regexp_replace(translate(text, '{UPPER}', '{UPPER.lower()}'), '[ \\t\\r\\n]+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
 @register(f"""with d as (select doc_id, {_CONTENT} as h from documents where text is not null), h as (select h, min(doc_id) as first from d group by 1) select doc_id, first as canonical_id, doc_id <> first as repeated from d join h using (h)""")
 def insight_hash_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), "[ \\t\\r\\n]+", " "))).alias("h"))
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.regexp_replace(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), "[ \\t\\r\\n]+", " "), "^ | $", "")).alias("h"))
     first = rows.groupBy("h").agg(F.min("doc_id").alias("canonical_id"))
     return rows.join(first, "h").select("doc_id", "canonical_id", (F.col("doc_id") != F.col("canonical_id")).alias("repeated"))
 

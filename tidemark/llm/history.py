@@ -93,7 +93,9 @@ class History:
         names = [c.split()[0] for c in self.FACTS.split(", ")]
         forms.select(*names).write.mode("append").parquet(f"{self.where}/facts")
         keys = _index_rows(forms) if keys is None else keys
-        keys.select("key", "record", "text", "part").write.mode("append").partitionBy("part").parquet(f"{self.where}/keys")
+        # one file per part and batch, ordered by key, so that a small batch skips what it can't meet
+        keys = keys.select("key", "record", "text", "part").repartition(PARTS, "part").sortWithinPartitions("part", "key")
+        keys.write.mode("append").partitionBy("part").parquet(f"{self.where}/keys")
 
     def facts(self) -> DataFrame:
         return self.spark.read.schema(self.FACTS).parquet(f"{self.where}/facts")

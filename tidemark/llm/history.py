@@ -199,6 +199,8 @@ def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, wher
         verdict.write.parquet(f"{verdicts}/told-{batch}")
         fresh = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/told-{batch}").where("known_id is null").select("record")
         history.append(own_forms.join(fresh, "record", "left_semi"), own_keys.join(fresh, "record", "left_semi"))
+        # plans and shuffles of this batch are over: let Spark's cleaner drop them before the next one
+        spark._jvm.System.gc()
     if not batches:
         return rows.select(F.col("record").alias("intake_id"), "batch_no", F.lit(None).cast("long").alias("known_id"))
     told = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/told-*").withColumnRenamed("record", "first")

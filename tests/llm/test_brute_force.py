@@ -152,6 +152,17 @@ def test_repetition_of_rolling_captions_is_cut():
     assert turns.trim_repeat(None, "a b") == "a b"
 
 
+def test_repetition_is_cut_without_overlap_in_time(spark):
+    videos = spark.createDataFrame([("v", ["Edda Ledeminet"], None)], "video_id string, speakers array<string>, fetched_at timestamp")
+    said = [
+        (0, 0.49, 4.56, "this is how they fold the hirune"), (1, 7.56, None, "fold the hirune To be fair"), (2, 9.0, 0.0, "To be fair"),
+        (3, 10.0, 1.0, "fair enough"), (4, None, 1.0, "so we went on"), (5, None, 1.0, "So we went on then"),
+    ]
+    rows = spark.createDataFrame([("v", *r) for r in said], "video_id string, segment_index int, start double, duration double, text string")
+    got = turns.turns(videos, rows).orderBy("turn_no", "part_no").collect()
+    assert " ".join(r.text for r in got) == "this is how they fold the hirune To be fair fair enough so we went on then"
+
+
 def test_language_of_held_out_documents(spark, small):
     docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null and lang is not null").collect()
     train = [(r.lang, r.text, 1.0) for r in docs if r.doc_id % 3]

@@ -2,8 +2,8 @@
 
 Method: the timed segments of a video are swept in order of start; every segment is cut where a speaker label stands,
 labels are matched with the credited speakers, repetition of rolling captions is removed by the longest suffix of the
-segment before that is a prefix of this one (where the two overlap in time), and turns are split at speaker changes;
-within a turn, parts are split at pauses longer than the video's own calibrated pause.
+segment before that is a prefix of this one (of REPEAT_WORDS words at least, of any where the two overlap in time), and
+turns are split at speaker changes; within a turn, parts are split at pauses longer than the video's own calibrated pause.
 
 The sweep carries one value (who speaks) along a video. It runs in two steps, over time slots of SLOT_S seconds and
 over the last value of each slot, so a stream that holds a third of all rows isn't one task's load.
@@ -31,6 +31,8 @@ from tidemark.llm.spelling import plain, within
 SLOT_S = 3600
 #: Segments without a start are swept in slots of so many.
 SLOT_SEGMENTS = 1000
+#: Words that two neighbours must share to be a repetition where they don't overlap in time.
+REPEAT_WORDS = 3
 
 # Hesitations by language (the text is raw speech-to-text of these languages).
 HESITATIONS = frozenset(
@@ -222,7 +224,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def found(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """p6_found: the turns of videos that credit two or more speakers."""
+    """p6_found: the turns of videos that credit two or more speakers; repetition isn't cut here, repeated words are spoken words."""
     rows = numbered(pieces(videos, transcripts, 2))
     order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())])
     return rows.groupBy("video_id", "turn_no").agg(
@@ -232,20 +234,20 @@ def found(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
     )
 
 
-def trim_repeat(before: str | None, text: str) -> str:
-    """`text` without its longest prefix of words that ends `before`."""
+def trim_repeat(before: str | None, text: str, least: int = 1) -> str:
+    """`text` without its longest prefix of words, `least` or more, that ends `before`."""
     a, b = (before or "").casefold().split(), text.casefold().split()
     strip = ".,!?…;:"
     a, bare = [w.strip(strip) for w in a], [w.strip(strip) for w in b]
-    for k in range(min(len(a), len(bare)), 0, -1):
-        if a[-k:] == bare[:k]:
+    for k in range(min(len(a), len(bare)), least - 1, -1):
+        if a[-k] == bare[0] and a[-k:] == bare[:k]:
             return " ".join(text.split()[k:])
     return text
 
 
 @F.pandas_udf(T.StringType())
-def _trim(before: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([trim_repeat(b, t) for b, t in zip(before, text, strict=True)])
+def _trim(before: pd.Series, text: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([trim_repeat(b, t, k) for b, t, k in zip(before, text, least, strict=True)])
 
 
 def turns(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -257,8 +259,8 @@ def turns(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
     rows = numbered(pieces(videos, transcripts))
     slot = Window.partitionBy("video_id", "slot").orderBy(*_order())
     rows = rows.withColumns({"_before": F.lag("text").over(slot), "_ends": F.lag("ends").over(slot), "_turn": F.lag("turn_no").over(slot)})
-    overlap = F.col("start") < F.col("_ends")
-    rows = rows.withColumn("text", F.when(overlap, _trim("_before", "text")).otherwise(F.col("text")))
+    least = F.when(F.col("start") < F.col("_ends"), 1).otherwise(REPEAT_WORDS)
+    rows = rows.withColumn("text", _trim("_before", "text", least))
     gap = F.col("start") - F.col("_ends")
     pause = rows.groupBy("video_id").agg(F.greatest(4 * F.percentile_approx(F.when(gap >= 0, gap), 0.5), F.lit(2.0)).alias("pause"))
     new = F.when(F.col("_turn").isNull() | (F.col("_turn") != F.col("turn_no")) | (gap > F.coalesce("pause", F.lit(2.0))), 1).otherwise(0)
@@ -266,7 +268,7 @@ def turns(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
     order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())], F.col("text").alias("text"))
     parts = rows.groupBy("video_id", "turn_no", "slot", "_part").agg(
         F.first("speaker_no").alias("speaker_no"), F.min("start").alias("start"), F.max("ends").alias("ends"),
-        F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"])).alias("text"),
+        F.concat_ws(" ", F.filter(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"]), lambda x: x != "")).alias("text"),
     )
     part = F.row_number().over(Window.partitionBy("video_id", "turn_no").orderBy("slot", "_part")).cast("int")
     names = current_videos(videos).withColumnRenamed("speakers", "_speakers")

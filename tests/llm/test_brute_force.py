@@ -163,6 +163,17 @@ def test_repetition_is_cut_without_overlap_in_time(spark):
     assert " ".join(r.text for r in got) == "this is how they fold the hirune To be fair fair enough so we went on then"
 
 
+def test_slots_leave_no_mark_on_turns(spark, small):
+    videos, transcripts = table(spark, small, "videos"), table(spark, small, "transcripts")
+    got, keep = [], (turns.SLOT_S, turns.SLOT_SEGMENTS)
+    try:
+        for turns.SLOT_S, turns.SLOT_SEGMENTS in ((30, 3), (10**8, 10**8)):
+            got.append(sorted(map(tuple, turns.turns(videos, transcripts).collect()), key=str))
+    finally:
+        turns.SLOT_S, turns.SLOT_SEGMENTS = keep
+    assert got[0] == got[1] and got[0]
+
+
 def test_language_of_held_out_documents(spark, small):
     docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null and lang is not null").collect()
     train = [(r.lang, r.text, 1.0) for r in docs if r.doc_id % 3]

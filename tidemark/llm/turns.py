@@ -5,8 +5,8 @@ labels are matched with the credited speakers, repetition of rolling captions is
 segment before that is a prefix of this one (of REPEAT_WORDS words at least, of any where the two overlap in time), and
 turns are split at speaker changes; within a turn, parts are split at pauses longer than the video's own calibrated pause.
 
-The sweep carries one value (who speaks) along a video. It runs in two steps, over time slots of SLOT_S seconds and
-over the last value of each slot, so a stream that holds a third of all rows isn't one task's load.
+The sweep carries who speaks, and for turns() the piece before, along a video. It runs in two steps, over time slots of
+SLOT_S seconds and over the last value of each slot, so a stream that holds a third of all rows isn't one task's load.
 
 Defined results: segments sent twice count once; a null start sorts after the others, by segment_index; null text,
 blank text, annotations and hesitations alone hold no spoken words and never begin or end a turn; words before the
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.spelling import plain, within
+from tidemark.session import materialize
 
 #: Seconds of a slot, the most that one task sweeps of one video at once.
 SLOT_S = 3600
@@ -158,13 +159,13 @@ _HAS_WORD = re.compile(r"\w", re.UNICODE)
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["video_id", "slot", "start", "ends", "segment_index", "piece", "said_by", "words", "text"]
+    names = ["video_id", "slot", "start", "ends", "segment_index", "piece", "said_by", "first", "words", "text"]
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
             speakers = tuple(s or "" for s in r.speakers) if r.speakers is not None else ()
             for k, (number, text) in enumerate(cut_segment(r.text, speakers)):
-                out.append((r.video_id, r.slot, r.start, r.ends, r.segment_index, k, number or None, bool(_HAS_WORD.search(text)), text))
+                out.append((r.video_id, r.slot, r.start, r.ends, r.segment_index, k, number or None, min(len(speakers), 1), bool(_HAS_WORD.search(text)), text))
         frame = pd.DataFrame(out, columns=names)
         frame["said_by"] = frame["said_by"].astype("Int32")
         yield frame
@@ -176,10 +177,11 @@ def current_videos(videos: DataFrame) -> DataFrame:
     return videos.where("video_id is not null").groupBy("video_id").agg(last).select("video_id", F.coalesce("v.speakers", F.array()).alias("speakers"))
 
 
-def pieces(videos: DataFrame, transcripts: DataFrame, least_speakers: int = 0) -> DataFrame:
+def pieces(videos: DataFrame, transcripts: DataFrame, least_speakers: int = 0, written: bool = False) -> DataFrame:
     """Labelled pieces of segments with the speaker carried on: a row per piece with spoken words.
 
-    Columns video_id, slot, start, ends, segment_index, piece, speaker_no, text.
+    Columns video_id, slot, start, ends, segment_index, piece, speaker_no, text. `written` keeps the cut segments as a
+    table, for those who read the rows several times with their text.
     """
     who = current_videos(videos).where(F.size("speakers") >= least_speakers)
     once = transcripts.groupBy("video_id", "segment_index").agg(F.min(F.struct("start", "text", "duration")).alias("s"))
@@ -187,19 +189,18 @@ def pieces(videos: DataFrame, transcripts: DataFrame, least_speakers: int = 0) -
     rows = once.select("video_id", "segment_index", "s.start", "s.text", (F.col("s.start") + F.coalesce("s.duration", F.lit(0.0))).alias("ends"), slot.cast("long").alias("slot"))
     parts = rows.join(who, "video_id").mapInPandas(
         _pieces,
-        "video_id string, slot long, start double, ends double, segment_index int, piece int, said_by int, words boolean, text string",
+        "video_id string, slot long, start double, ends double, segment_index int, piece int, said_by int, first int, words boolean, text string",
     )
+    if written:
+        parts = materialize(parts, "pieces")
     order = F.struct(F.col("start").isNull(), "start", "segment_index", "piece")
     labelled = F.col("said_by").isNotNull()
     last = parts.groupBy("video_id", "slot").agg(F.max_by(F.when(labelled, F.col("said_by")), F.when(labelled, order)).alias("last"))
     before = Window.partitionBy("video_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select("video_id", "slot", F.last("last", ignorenulls=True).over(before).alias("carry"))
     inside = Window.partitionBy("video_id", "slot").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    number = F.coalesce(F.last("said_by", ignorenulls=True).over(inside), "carry", F.lit(1 if least_speakers else None).cast("int"))
-    out = parts.join(carry, ["video_id", "slot"]).withColumn("speaker_no", number).where("words").drop("carry", "said_by", "words")
-    if not least_speakers:
-        out = out.join(who.select("video_id", F.least(F.size("speakers"), F.lit(1)).alias("_first")), "video_id").withColumn("speaker_no", F.coalesce("speaker_no", "_first")).drop("_first")
-    return out
+    number = F.coalesce(F.last("said_by", ignorenulls=True).over(inside), "carry", "first")
+    return parts.join(carry, ["video_id", "slot"]).withColumn("speaker_no", number).where("words").drop("carry", "said_by", "first", "words")
 
 
 def _order() -> tuple[Column, ...]:
@@ -256,21 +257,38 @@ def turns(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
     Columns video_id, turn_no, part_no (from 1 within the turn), speaker_no, speaker (name without role, null if none
     is credited), start, ends, text. A pause is calibrated per video: four times the median gap, at least two seconds.
     """
-    rows = numbered(pieces(videos, transcripts))
+    rows = numbered(pieces(videos, transcripts, written=True))
     slot = Window.partitionBy("video_id", "slot").orderBy(*_order())
-    rows = rows.withColumns({"_before": F.lag("text").over(slot), "_ends": F.lag("ends").over(slot), "_turn": F.lag("turn_no").over(slot)})
+    order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())])
+    video = Window.partitionBy("video_id").orderBy("slot")
+    # the first piece of a slot follows the last one of the slot before
+    edge = rows.groupBy("video_id", "slot").agg(*[F.max_by(c, order).alias(c) for c in ("text", "ends", "turn_no")])
+    edge = edge.select("video_id", "slot", *[F.lag(c).over(video).alias(f"_edge_{c}") for c in ("text", "ends", "turn_no")])
+    begins = F.row_number().over(slot) == 1
+    before = lambda c: F.when(begins, F.col(f"_edge_{c}")).otherwise(F.lag(c).over(slot))
+    rows = rows.join(edge, ["video_id", "slot"]).withColumns({"_before": before("text"), "_ends": before("ends"), "_turn": before("turn_no")})
     least = F.when(F.col("start") < F.col("_ends"), 1).otherwise(REPEAT_WORDS)
-    rows = rows.withColumn("text", _trim("_before", "text", least))
     gap = F.col("start") - F.col("_ends")
+    # by slot, so that the rows stay where they are
     pause = rows.groupBy("video_id").agg(F.greatest(4 * F.percentile_approx(F.when(gap >= 0, gap), 0.5), F.lit(2.0)).alias("pause"))
+    pause = edge.select("video_id", "slot").join(pause, "video_id")
     new = F.when(F.col("_turn").isNull() | (F.col("_turn") != F.col("turn_no")) | (gap > F.coalesce("pause", F.lit(2.0))), 1).otherwise(0)
-    rows = rows.join(pause, "video_id").withColumn("_part", F.sum(new).over(slot.rowsBetween(Window.unboundedPreceding, 0)))
-    order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())], F.col("text").alias("text"))
+    rows = rows.withColumn("text", _trim("_before", "text", least)).join(pause, ["video_id", "slot"])
+    rows = rows.withColumn("_part", F.sum(new).over(slot.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(_order())], F.col("text").alias("text"))
+    joined = lambda c: F.concat_ws(" ", F.filter(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["text"]), lambda x: x != ""))
+    # parts of slots, counted from 0 where the slot goes on with the part before, then put together over slots
     parts = rows.groupBy("video_id", "turn_no", "slot", "_part").agg(
-        F.first("speaker_no").alias("speaker_no"), F.min("start").alias("start"), F.max("ends").alias("ends"),
-        F.concat_ws(" ", F.filter(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["text"]), lambda x: x != "")).alias("text"),
+        F.first("speaker_no").alias("speaker_no"), F.min("start").alias("start"), F.max("ends").alias("ends"), joined(texts).alias("text")
+    )
+    offset = rows.groupBy("video_id", "slot").agg(F.max("_part").alias("n")).select(
+        "video_id", "slot", F.coalesce(F.sum("n").over(video.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")
     )
-    part = F.row_number().over(Window.partitionBy("video_id", "turn_no").orderBy("slot", "_part")).cast("int")
+    parts = parts.join(offset, ["video_id", "slot"]).withColumn("_part", F.col("_offset") + F.col("_part"))
+    parts = parts.groupBy("video_id", "turn_no", "_part").agg(
+        F.first("speaker_no").alias("speaker_no"), F.min("start").alias("start"), F.max("ends").alias("ends"), joined(F.struct("slot", "text")).alias("text")
+    )
+    part = F.row_number().over(Window.partitionBy("video_id", "turn_no").orderBy("_part")).cast("int")
     names = current_videos(videos).withColumnRenamed("speakers", "_speakers")
     name = F.trim(F.split_part(F.try_element_at("_speakers", F.nullif("speaker_no", F.lit(0))), F.lit("("), F.lit(1)))
     return parts.withColumn("part_no", part).join(names, "video_id").select("video_id", "turn_no", "part_no", "speaker_no", name.alias("speaker"), "start", "ends", "text")

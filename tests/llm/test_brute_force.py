@@ -215,6 +215,27 @@ def test_fusion_prefers_right_forms_and_discounts_copies(spark):
     assert (got[2].name_record, got[2].latitude_record) == (5, 0)  # former name out, centre of the city is not its own place
 
 
+@pytest.mark.parametrize("city", [5, 0])
+@pytest.mark.parametrize(("length", "slips"), [(5, 1), (6, 1), (7, 1), (7, 2), (8, 2), (9, 2), (10, 2), (10, 3), (12, 3)])
+def test_bands_meet_nine_of_ten_spellings_within_the_slips(city, length, slips):
+    rng = random.Random(length + slips)
+    hits = total = 0
+    while total < 200:
+        known = "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") + rng.choice(["", "n", "r", "l"]) for _ in range(6))[:length]
+        typed = spoil(known, rng, slips)
+        if len(typed) < 3 or within(typed, known, slips) != slips or slips_allowed(len(known)) < slips:
+            continue
+        total += 1
+        hits += bool(set(history.band_keys(typed, city, probe=True)) & set(history.band_keys(known, city)))
+    assert hits / total >= 0.9
+
+
+def test_bands_meet_across_a_missing_city():
+    for a, b in ((0, 5), (5, 0), (0, 0), (5, 5)):
+        assert set(history.band_keys("karinomeb", a, probe=True)) & set(history.band_keys("karinomeb", b))
+    assert not set(history.band_keys("karinomeb", 4, probe=True)) & set(history.band_keys("karinomeb", 5))
+
+
 def test_batches_agree_with_all_pairs_on_exact_repeats(spark, small):
     intake, canonical, spots = (table(spark, small, t) for t in ("entity_intake", "canonical_entities", "places"))
     got = {r.new_id: r.known_id for r in history.found(intake, canonical, spots).collect()}

@@ -1,7 +1,7 @@
 """Problem 4: new batches deduplicated against all history, without reprocessing the history.
 
 Method: persisted minwise band keys. Every accepted record's name forms are hashed once to minwise band keys (with its
-city, and in wider bands without it) and written to an index partitioned by hash. A batch computes its own keys, meets
+city, and in bands without it for pairs of which one has no city) and written to an index partitioned by hash. A batch computes its own keys, meets
 only the index rows with equal keys, verifies the pairs by edit distance, kind and place, and appends the keys of the
 records it accepts as new. Records of one batch also meet each other; chains among them end at their first record.
 
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,8 @@ from tidemark.llm.variants import bare_name, entities_of, known_forms, listed_ci
 from tidemark.session import materialize, scratch_path
 
 #: Bands and rows of the keys within one city, and of those without a city.
-CITY_BANDS, CITY_ROWS = 24, 3
-FREE_BANDS, FREE_ROWS = 24, 4
+CITY_BANDS, CITY_ROWS = 32, 2
+FREE_BANDS, FREE_ROWS = 24, 2
 #: Parts of the index, by hash of the key.
 PARTS = 16
 
@@ -47,22 +47,30 @@ def signature(text: str) -> tuple[int, ...]:
     return tuple(((hashes[:, None] * _A[None, :] + _B[None, :]) % _PRIME).min(axis=0).tolist())
 
 
-def band_keys(text: str, city: int) -> list[int]:
-    """Keys of a text: bands with the city (if it has one), and wider bands without."""
+def band_keys(text: str, city: int, probe: bool = False) -> list[int]:
+    """Keys of a text: bands with the city (if it has one), and bands without, named by whether it has one.
+
+    A pair of two cities meets in its city or not at all, so a `probe` with a city seeks only texts without one, and a
+    probe without a city seeks both.
+    """
     sign = signature(text)
     out = []
     if city:
         out += [hash((1, city, b, sign[b * CITY_ROWS : (b + 1) * CITY_ROWS])) for b in range(CITY_BANDS)]
-    out += [hash((0, b, sign[b * FREE_ROWS : (b + 1) * FREE_ROWS])) for b in range(FREE_BANDS)]
+    for has_city in ((False,) if city else (False, True)) if probe else (bool(city),):
+        out += [hash((0, has_city, b, sign[b * FREE_ROWS : (b + 1) * FREE_ROWS])) for b in range(FREE_BANDS)]
     return out
 
 
-def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for record, text, city in zip(pdf["record"], pdf["text"], pdf["city_id"], strict=True):
-            out += [(key % PARTS, key, record, text) for key in band_keys(text, city)]
-        yield pd.DataFrame(out, columns=["part", "key", "record", "text"])
+def _keys(probe: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for record, text, city in zip(pdf["record"], pdf["text"], pdf["city_id"], strict=True):
+                out += [(key % PARTS, key, record, text) for key in band_keys(text, city, probe)]
+            yield pd.DataFrame(out, columns=["part", "key", "record", "text"])
+
+    return run
 
 
 @F.pandas_udf(T.IntegerType())
@@ -75,9 +83,17 @@ def _allowed(a: pd.Series) -> pd.Series:
     return a.map(lambda x: slips_allowed(len(x))).astype("int32")
 
 
-def _index_rows(forms: DataFrame) -> DataFrame:
+def _may_be_near() -> Column:
+    """Whether text and k_text may be within the slips allowed: a slip is two plain edits at most, so nothing is lost."""
+    size = F.length("k_text")
+    slips = F.when(size <= 4, slips_allowed(4)).when(size <= 6, slips_allowed(6)).when(size <= 9, slips_allowed(9)).otherwise(slips_allowed(10))
+    edits = F.levenshtein("text", "k_text", 2 * slips_allowed(10))
+    return (F.abs(F.length("text") - size) <= slips) & (edits >= 0) & (edits <= 2 * slips)
+
+
+def _index_rows(forms: DataFrame, probe: bool = False) -> DataFrame:
     """Keys of forms (record, text, city_id)."""
-    return forms.select("record", "text", "city_id").distinct().mapInPandas(_keys, "part int, key long, record long, text string")
+    return forms.select("record", "text", "city_id").distinct().mapInPandas(_keys(probe), "part int, key long, record long, text string")
 
 
 class History:
@@ -108,7 +124,7 @@ def _verified(queries: DataFrame, query_keys: DataFrame, known_keys: DataFrame,
     """Pairs (record, known, cost) of typed forms and known forms that meet in a key and are the same entity."""
     meet = (
         query_keys.join(known_keys.withColumnsRenamed({"record": "known", "text": "k_text"}), ["part", "key"])
-        .where(F.col("known") < F.col("record")).select("record", "text", "known", "k_text").distinct()
+        .where((F.col("known") < F.col("record")) & _may_be_near()).select("record", "text", "known", "k_text").distinct()
     )
     texts = meet.select("text", "k_text").distinct().withColumn("slips", _slips("text", "k_text"))
     near = meet.join(texts.where(F.col("slips") <= _allowed("k_text")), ["text", "k_text"])
@@ -175,7 +191,7 @@ def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, wher
     kept = materialize(leads.join(typed, "name").drop("name", "first"), "typed", ["batch_no"])
     own = forms.withColumnsRenamed({"entity_id": "record", "known": "text"}).join(leads.drop("name", "first"), "record")
     own = materialize(own, "own", ["batch_no"])
-    q_keys = materialize(_index_rows(kept).join(leads.select("record", "batch_no"), "record"), "query-keys", ["batch_no"])
+    q_keys = materialize(_index_rows(kept, probe=True).join(leads.select("record", "batch_no"), "record"), "query-keys", ["batch_no"])
     o_keys = materialize(_index_rows(own).join(leads.select("record", "batch_no"), "record"), "own-keys", ["batch_no"])
 
     verdicts = scratch_path(spark, "verdicts")

@@ -236,6 +236,12 @@ def test_bands_meet_across_a_missing_city():
     assert not set(history.band_keys("karinomeb", 4, probe=True)) & set(history.band_keys("karinomeb", 5))
 
 
+def test_long_chains_of_a_batch_end_at_their_first_record(spark):
+    rows = [(k, 7 if k == 100 else None, None if k in (100, 200) else k - 1) for first in (100, 200) for k in range(first, first + 40)]
+    got = {r.record: (r.known, r.near) for r in history.settled(spark.createDataFrame(rows, "record long, known long, near long")).collect()}
+    assert all(got[k] == (7, None) for k in range(100, 140)) and all(got[k] == (None, 200) for k in range(201, 240)) and got[200] == (None, None)
+
+
 def test_batches_agree_with_all_pairs_on_exact_repeats(spark, small):
     intake, canonical, spots = (table(spark, small, t) for t in ("entity_intake", "canonical_entities", "places"))
     got = {r.new_id: r.known_id for r in history.found(intake, canonical, spots).collect()}

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tidemark.llm.names import slips_allowed
 from tidemark.llm.spelling import grams, within
 from tidemark.llm.variants import bare_name, entities_of, known_forms, listed_city, typed_forms, with_place
-from tidemark.session import materialize, scratch_path
+from tidemark.session import cut_lineage, materialize, scratch_path
 
 #: Bands and rows of the keys within one city, and of those without a city.
 CITY_BANDS, CITY_ROWS = 32, 2
@@ -163,6 +163,25 @@ def _best(pairs: DataFrame, batch: DataFrame) -> DataFrame:
     return best.select("record", F.col("k.known").alias("known"), F.when(F.col("k").isNull(), F.col("n.known")).alias("near"))
 
 
+def settled(root: DataFrame, rounds: int = 40) -> DataFrame:
+    """`root` (record, known, near) with every chain of near followed to its first record, or to what that is known as.
+
+    Links double each round, so chains take logarithmic time; lineage is cut every round.
+    """
+    for _ in range(rounds):
+        up = root.select(F.col("record").alias("near"), F.col("known").alias("up_known"), F.col("near").alias("up_near"))
+        known = F.coalesce("known", "up_known")
+        root = cut_lineage(root.join(up, "near", "left").select(
+            "record", known.alias("known"), F.when(known.isNull(), F.coalesce("up_near", "near")).alias("near"),
+            (F.col("up_known").isNotNull() | F.col("up_near").isNotNull()).alias("moved"),
+        ))
+        moved = root.where("moved").limit(1).count()
+        root = root.drop("moved")
+        if not moved:
+            return root
+    raise RuntimeError(f"chains of a batch not settled after {rounds} rounds")
+
+
 def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, where: str | None = None) -> DataFrame:
     """Every intake row once with its verdict: intake_id, batch_no, known_id (null: new).
 
@@ -205,12 +224,7 @@ def deduplicate(intake: DataFrame, canonical: DataFrame, places: DataFrame, wher
         met.write.parquet(f"{verdicts}/met-{batch}")
         met = spark.read.schema("record long, known long, near long").parquet(f"{verdicts}/met-{batch}")
         # a record that only meets others of its batch is what the first of them is
-        root = leads.where(this).select("record").join(met, "record", "left")
-        for _ in range(3):
-            up = root.select(F.col("record").alias("near"), F.col("known").alias("up_known"), F.col("near").alias("up_near"))
-            root = root.join(up, "near", "left").select(
-                "record", F.coalesce("known", "up_known").alias("known"), F.when(F.coalesce("known", "up_known").isNull(), F.coalesce("up_near", "near")).alias("near")
-            )
+        root = settled(leads.where(this).select("record").join(met, "record", "left"))
         verdict = root.select("record", F.coalesce("known", "near").alias("known_id"))
         verdict.write.parquet(f"{verdicts}/told-{batch}")
         fresh = spark.read.schema("record long, known_id long").parquet(f"{verdicts}/told-{batch}").where("known_id is null").select("record")

@@ -162,6 +162,21 @@ def test_greedy_clusters_and_diversity_equal_plain_loops(spark):
     assert [r.k for r in got] == expect
 
 
+def test_word_correction_equals_all_pairs(spark):
+    from tidemark.operators import sequential
+
+    rng = random.Random(6)
+    known = ["gitazisul", "jivonmülpen", "port vuhopankir", *{"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(40)}]
+    typed = {"gtazisull", "jyvonmülpehn", "near port vuhopankir", *("".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(150))} - set(known)
+    want = {}
+    for w in typed:
+        score, k = min((-round(sequence_ratio(w, k), 6), k) for k in known)
+        if -score >= 0.85:
+            want[w] = (k, -score)
+    rows = sequential.correct_words(spark.createDataFrame([(w,) for w in typed], "w string"), spark.createDataFrame([(k,) for k in known], "k string"), "w", "k", 0.85)
+    assert {r.w: (r.k, r.ratio) for r in rows.collect()} == want and len(want) > 5
+
+
 def test_word_correction(spark):
     from tidemark.operators import sequential
 

@@ -65,15 +65,20 @@ def search_names(rows: DataFrame, row_id: str, name: str, aliases: str, query: s
 
 
 def correct_words(typed: DataFrame, known: DataFrame, word: str, target: str, least: float) -> DataFrame:
-    """Best known word of each typed one: pairs meet if two letters of their first or last three agree in place and length fits.
+    """Best known word of each typed one, of all pairs whose letters can make the ratio at all; `known` is a fixed, small list.
 
-    Words that are known already stay out; ties go to the first in order.
+    The ratio is at most 2 c / (n + m), c being the letters in common (each as often as in both). Words that are known
+    already stay out; ties go to the first in order.
     """
-    def keys(c: str) -> Column:
-        x = F.col(c)
-        return F.array_distinct(F.array(*[F.concat(F.lit(f"{i}"), F.substring(x, p, 2)) for i, p in (("a", 1), ("b", 2), ("y", -2), ("z", -3))]))
-
-    pairs = typed.join(known, typed[word] == known[target], "left_anti").withColumn("_piece", F.explode(keys(word))).join(known.withColumn("_piece", F.explode(keys(target))), "_piece")
-    pairs = pairs.where(F.abs(F.length(word) - F.length(target)) <= 0.3 * F.length(target)).select(word, target).distinct()
+    def letters(c: str) -> Column:
+        """Each letter with its number among its equals, so that letters in common are counted as often as in both."""
+        x = F.split(F.col(c), "")
+        return F.transform(x, lambda a, i: F.concat(a, F.size(F.filter(F.slice(x, 1, i + 1), lambda b: b == a)).cast("string")))
+
+    a = typed.join(known, typed[word] == known[target], "left_anti").select(word).distinct().withColumn("_a", letters(word))
+    b = known.select(target).distinct().withColumn("_b", letters(target))
+    size = F.length(word) + F.length(target)
+    pairs = a.crossJoin(F.broadcast(b)).where(2 * F.least(F.length(word), F.length(target)) >= (least - 1e-6) * size)
+    pairs = pairs.where(2 * F.size(F.array_intersect("_a", "_b")) >= (least - 1e-6) * size).select(word, target)
     scored = pairs.withColumn("_ratio", F.round(ratio_udf("sequence")(word, target), 6)).where(F.col("_ratio") >= least)
     return scored.groupBy(word).agg(F.min_by(F.struct(F.col(target), F.col("_ratio").alias("ratio")), F.struct(-F.col("_ratio"), target)).alias("b")).select(word, f"b.{target}", "b.ratio")

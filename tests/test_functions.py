@@ -125,6 +125,14 @@ def test_semantic_chunk_fold():
     assert all(b - a <= 11 for a, b in chunks.fold_chunks(starts, ["x"] * 12))
 
 
+def test_semantic_chunks_equal_one_fold_of_a_long_video(spark):
+    rng = random.Random(8)
+    rows = [("v", k, 17.0 * k, "Finally, x" if rng.random() < 0.1 else "y") for k in range(1300)]  # over six hours
+    got = chunks.semantic(spark.createDataFrame(rows, "video_id string, segment_index int, start double, text string").repartition(4)).orderBy("chunk").collect()
+    want = chunks.fold_chunks([r[2] for r in rows], [r[3] for r in rows])
+    assert [(r.chunk, r.first_segment, r.last_segment) for r in got] == [(k, a, b) for k, (a, b) in enumerate(want)]
+
+
 def test_warnings_and_first_rule(spark):
     df = spark.createDataFrame([(1,), (5,)], "v int")
     got = df.select(filters.warnings({"odd": F.col("v") % 2 == 1, "big": F.col("v") > 3}).alias("w"), filters.first_rule([("big", F.col("v") > 3), ("odd", F.col("v") % 2 == 1)], "ok").alias("r")).collect()

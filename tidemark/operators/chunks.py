@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fixed_windows(rows: DataFrame, key: str, start: str, duration: str, length: int, step: int) -> DataFrame:
@@ -34,12 +35,12 @@ SHIFT = re.compile(r"^\W*(?:next|now|so|okay|finally|by the way|after lunch|on o
 LEAST, MOST, OVERLAP = 120.0, 420.0, 3
 
 
-def fold_chunks(starts: list[float], texts: list[str]) -> list[tuple[int, int]]:
+def fold_shifts(starts: list[float], shifts: list[bool]) -> list[tuple[int, int]]:
     """(first, last) positions of chunks: cut at a topic shift after LEAST seconds and at MOST seconds, OVERLAP segments shared."""
     out, first = [], 0
     for i in range(1, len(starts)):
         long = starts[i] - starts[first]
-        if long >= MOST or (long >= LEAST and SHIFT.match(texts[i])):
+        if long >= MOST or (long >= LEAST and shifts[i]):
             out.append((first, i - 1))
             first = max(first + 1, i - OVERLAP)
     if starts:
@@ -47,14 +48,27 @@ def fold_chunks(starts: list[float], texts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def semantic(rows: DataFrame, span: int = 7200) -> DataFrame:
-    """Chunks by topic shift per video; a stream is folded in spans of two hours so that none is one task's whole load."""
+def fold_chunks(starts: list[float], texts: list[str]) -> list[tuple[int, int]]:
+    """fold_shifts of texts."""
+    return fold_shifts(starts, [bool(SHIFT.match(t)) for t in texts])
+
+
+@F.pandas_udf(T.BooleanType())
+def _shift(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: bool(SHIFT.match(t))).astype(bool)
+
+
+def semantic(rows: DataFrame) -> DataFrame:
+    """Chunks by topic shift per video, in one fold over the whole video.
+
+    Shifts are found before, over all partitions, so that the fold of a long stream holds starts, indexes and flags only.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "segment_index"])
         index = pdf["segment_index"].tolist()
-        parts = fold_chunks(pdf["start"].tolist(), pdf["text"].tolist())
-        return pd.DataFrame([(key[0], int(key[1]), k, index[a], index[b]) for k, (a, b) in enumerate(parts)], columns=["video_id", "span", "chunk", "first_segment", "last_segment"])
+        parts = fold_shifts(pdf["start"].tolist(), pdf["shift"].tolist())
+        return pd.DataFrame([(key[0], k, index[a], index[b]) for k, (a, b) in enumerate(parts)], columns=["video_id", "chunk", "first_segment", "last_segment"])
 
-    rows = rows.select("video_id", "segment_index", "start", "text", F.floor(F.col("start") / span).alias("span"))
-    return rows.groupBy("video_id", "span").applyInPandas(run, "video_id string, span long, chunk long, first_segment int, last_segment int")
+    rows = rows.select("video_id", "segment_index", "start", _shift("text").alias("shift"))
+    return rows.groupBy("video_id").applyInPandas(run, "video_id string, chunk long, first_segment int, last_segment int")

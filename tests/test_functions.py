@@ -190,3 +190,19 @@ def test_word_correction(spark):
 
     typed, known = spark.createDataFrame([("chiangmai",), ("bangkok",), ("zzz",)], "w string"), spark.createDataFrame([("chiang mai",), ("bangkok",)], "k string")
     assert [(r.w, r.k) for r in sequential.correct_words(typed, known, "w", "k", 0.85).collect()] == [("chiangmai", "chiang mai")]
+
+
+def test_all_locations_are_normalized(spark, small):
+    import re
+    import unicodedata
+
+    from tidemark.plans.catalog import queries
+    from tidemark.session import table
+
+    def plain(x):
+        x = unicodedata.normalize("NFKD", re.sub(r"[,.\-]", " ", x.lower()))
+        return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s\-']", "", x)).strip()
+
+    given = {r.location for r in table(spark, small, "extracted_entities").where("location is not null").collect()}
+    got = {r.location: r.normalized for r in queries()["all_normalized_locations"](spark, small).collect()}
+    assert got == {x: plain(x) for x in given} and any(not x.isascii() for x in given)

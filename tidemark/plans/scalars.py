@@ -60,3 +60,10 @@ def profile_keys(spark: SparkSession, d: str) -> DataFrame:
 def normalized_locations(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "extracted_entities").where("location is not null").where(F.col("location").rlike(r"^[\x00-\x7F]*$")).select("location").distinct()
     return rows.select("location", normalize_location(F.col("location")).alias("normalized"))
+
+
+@register()
+def all_normalized_locations(spark: SparkSession, d: str) -> DataFrame:
+    """normalized_locations over every location, marks and other scripts included; checked against brute force in the tests."""
+    rows = table(spark, d, "extracted_entities").where("location is not null").select("location").distinct()
+    return rows.select("location", normalize_location(F.col("location")).alias("normalized"))

@@ -3,12 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from tidemark.llm import fusion, history, language, mixing, places, safety, tokens, turns
+from tidemark.llm import fusion, history, language, mixing, places, safety, tokens, tries, turns
 from tidemark.llm.names import parse, slips_allowed
-from tidemark.llm.spelling import grams, sound, within
+from tidemark.llm.spelling import grams, sound, within, within_many
 from tidemark.llm.tries import trie_join
 from tidemark.session import table
 
@@ -59,6 +60,12 @@ def test_trie_join_equals_all_pairs(spark):
     got = {(r.query, r.known): r.slips for r in trie_join(spark.createDataFrame([(w,) for w in typed], "query string"), spark.createDataFrame([(w,) for w in known], "known string"), 8).collect()}
     want = {(a, b): d for a in typed for b in known if (d := levenshtein(a, b)) <= slips_allowed(len(b))}
     assert got == want
+    keep, tries.SPLIT, tries.PORTION = (tries.SPLIT, tries.PORTION), 2, 3  # hot shards split by queries and by strings
+    try:
+        again = trie_join(spark.createDataFrame([(w,) for w in typed], "query string"), spark.createDataFrame([(w,) for w in known], "known string"), 8)
+        assert {(r.query, r.known): r.slips for r in again.collect()} == want
+    finally:
+        tries.SPLIT, tries.PORTION = keep
 
 
 def test_bounded_distance_counts_a_transposition_once():
@@ -226,14 +233,72 @@ def test_bands_meet_nine_of_ten_spellings_within_the_slips(city, length, slips):
         if len(typed) < 3 or within(typed, known, slips) != slips or slips_allowed(len(known)) < slips:
             continue
         total += 1
-        hits += bool(set(history.band_keys(typed, city, probe=True)) & set(history.band_keys(known, city)))
+        a, b = history.signatures([typed, known])
+        met = bool(set(history.band_keys(a, city, probe=True)) & set(history.band_keys(b, city)))
+        hits += met and int(((a ^ b) & np.uint64(1)).sum()) <= history.BITS_APART
     assert hits / total >= 0.9
 
 
 def test_bands_meet_across_a_missing_city():
+    (sign,) = history.signatures(["karinomeb"])
     for a, b in ((0, 5), (5, 0), (0, 0), (5, 5)):
-        assert set(history.band_keys("karinomeb", a, probe=True)) & set(history.band_keys("karinomeb", b))
-    assert not set(history.band_keys("karinomeb", 4, probe=True)) & set(history.band_keys("karinomeb", 5))
+        assert set(history.band_keys(sign, a, probe=True)) & set(history.band_keys(sign, b))
+    assert not set(history.band_keys(sign, 4, probe=True)) & set(history.band_keys(sign, 5))
+
+
+def test_batches_at_once_equal_batch_by_batch_on_one_index(spark, small, tmp_path):
+    intake, canonical, spots = (table(spark, small, t) for t in ("entity_intake", "canonical_entities", "places"))
+    every = table(spark, "/root/testdata/sf0.01", "entity_intake").where("batch_no <= 3")
+    at_once = {tuple(r) for r in history.deduplicate(every, canonical, spots).collect()}
+    where, by_batch = f"file://{tmp_path}/index", set()
+    for batch in (1, 2, 3):
+        by_batch |= {tuple(r) for r in history.deduplicate(every.where(f"batch_no = {batch}"), canonical if batch < 3 else None, spots, where).collect()}
+    assert at_once == by_batch and any(k is not None for _, _, k in at_once)
+    index = history.History(spark, where)
+    facts = index.facts()
+    assert facts.count() == facts.distinct().count()  # a filled folder isn't filled again
+    new = {i for i, _, k in at_once if k is None}
+    assert {r.record for r in facts.select("record").distinct().collect()} <= new | {r.entity_no for r in canonical.collect()}
+
+
+def test_index_is_laid_out_anew_when_it_has_grown(spark, tmp_path):
+    keep, history.PART_TEXTS, history.GROWTH = (history.PART_TEXTS, history.GROWTH), 1, 2
+    try:
+        index = history.History(spark, f"file://{tmp_path}/grown")
+        for k in range(3):
+            rows = [(1000 * k + i, "full", f"{w}{k}", "", 0, 5, 1, False, "hotel") for i, w in enumerate(words(90, k))]
+            index.append(spark.createDataFrame(rows, history.History.FACTS))
+        again = history.History(spark, f"file://{tmp_path}/grown")
+        assert again.parts > 200 and again.facts().count() == again.texts
+        probe = history.entries(spark.createDataFrame([(rows[7][2], 5)], "text string, city_id long"), probe=True)
+        assert rows[7][2] in {r.k_text for r in history.near_texts(probe, again.met(probe)).collect()}
+    finally:
+        history.PART_TEXTS, history.GROWTH = keep
+
+
+def test_chain_of_near_names_in_a_batch_ends_at_its_first(spark, small):
+    letters = "bakodimunerasolitevu"
+    names = [f"{letters[k * 1 : k + 10]} Museum" for k in range(0, 10)]  # each a letter off at either end from the one before
+    rows = [(100 + k, 1, None, None, n, "museum", None, None, None, None, 1.0) for k, n in enumerate(names)]
+    intake = spark.createDataFrame(rows, table(spark, small, "entity_intake").schema)
+    got = {r.intake_id: r.known_id for r in history.deduplicate(intake, table(spark, small, "canonical_entities").limit(0), table(spark, small, "places")).collect()}
+    assert got[100] is None and all(got[100 + k] == 100 for k in range(1, 10))
+    assert history.History  # one call, ten links
+
+
+def test_repetitions_are_settled_in_order_of_batch(spark):
+    # 11 repeats 1; 12 knows only 11, which isn't in the index, so it is new; 13 knows 12
+    pairs = [(11, 2, 1, 1, 0), (12, 3, 11, 2, 0), (13, 4, 12, 3, 0), (14, 4, 13, 4, 1), (15, 4, 12, 3, 2), (15, 4, 14, 4, 0)]
+    got = dict(map(tuple, history.verdicts(spark.createDataFrame(pairs, "record long, batch_no int, known long, k_batch_no int, cost int")).collect()))
+    assert got == {11: 1, 13: 12, 14: 12, 15: 12}
+
+
+def test_distances_of_many_pairs_equal_those_of_one():
+    rng = random.Random(11)
+    a = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    b = [x[: len(x) // 2] + x[len(x) // 2 + 1 :] if rng.random() < 0.5 else rng.choice(a) for x in a]
+    k = np.array([rng.randint(0, 4) for _ in a])
+    assert within_many(a, b, k).tolist() == [within(x, y, int(z)) for x, y, z in zip(a, b, k, strict=True)]
 
 
 def test_long_chains_of_a_batch_end_at_their_first_record(spark):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.spelling import grams, plain, sound, within
+from tidemark.llm.spelling import grams, plain, sound, within, within_many
 from tidemark.session import materialize
 
 #: Jaccard similarity of letter pairs from which a segment is compared further.
@@ -92,8 +92,8 @@ def _grams(forms: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.IntegerType())
-def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within(x, y, 3) for x, y in zip(a, b, strict=True)], dtype="int32")
+def _slips(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+    return pd.Series(within_many(a.tolist(), b.tolist(), most.to_numpy()))
 
 
 def similar_spellings(forms: DataFrame, spellings: DataFrame, threshold: float = MIN_JACCARD) -> DataFrame:
@@ -158,9 +158,9 @@ def resolve_places(values: DataFrame, places: DataFrame, threshold: float = MIN_
     spellings = materialize(spellings, "spellings")
     length = F.length("form")
     # a code must be exact; longer names may hold so many slips
-    slips = F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 8, 2).otherwise(3)
+    slips = F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 8, 2).otherwise(3).cast("int")
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = similar_spellings(segments, spellings, threshold).repartition(spread, "form").withColumn("slips", _slips("form", "spelling")).where(F.col("slips") <= slips)
+    near = similar_spellings(segments, spellings, threshold).repartition(spread, "form").withColumn("slips", _slips("form", "spelling", slips)).where(F.col("slips") <= slips)
     best = Window.partitionBy("form").orderBy("slips", F.desc("jaccard"))
     near = near.withColumn("best", F.rank().over(best)).where("best = 1")
     hits = near.join(spellings.drop("grams"), "spelling").select("form", "place_id", "kind", "of_country", "slips", "jaccard").distinct()

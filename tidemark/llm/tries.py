@@ -2,73 +2,118 @@
 
 Known strings are cut into as many pieces as edits are allowed and one more, so a spelling within the bound keeps one
 piece whole, at most as many places away as edits are allowed. Length, number and text of the piece name the shard; a
-query visits only the shards that its own substrings name, and its automaton walks the shard's trie. No pair within
-the bound is missed, none outside comes out. Hot shards hold distinct strings only, and their queries are spread.
+query visits only the shards that its own substrings name. No pair within the bound is missed, none outside comes out.
+
+The strings of a shard are one trie, kept as flat arrays of nodes by depth. All visits of a task go down their tries
+together, a letter at a time: the state of a visit's automaton is its band of bounded distances (as many letters of the
+query before and after the depth as edits are allowed), a step moves all states at once, and dead states are dropped.
+Visits go in portions of a fixed size, so memory doesn't grow with the shard. A shard of many strings or of many queries
+is split by hash of either, so that a piece that a third of all names share is many tasks' work.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.names import slips_allowed
-
-
-class Levenshtein:
-    """The automaton of all strings within k edits of a word, states as rows of bounded distances, made when reached."""
-
-    def __init__(self, word: str, k: int):
-        self.word, self.k = word, k
-        self.start = tuple(min(i, k + 1) for i in range(len(word) + 1))
-        self.arcs: dict[tuple[tuple[int, ...], str], tuple[int, ...] | None] = {}
-
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...] | None:
-        """The state after `char`, None if no continuation can be within k edits."""
-        key = (state, char)
-        if key in self.arcs:
-            return self.arcs[key]
-        dead = self.k + 1
-        row = [min(state[0] + 1, dead)]
-        for i, c in enumerate(self.word):
-            row.append(min(state[i] + (c != char), state[i + 1] + 1, row[i] + 1, dead))
-        out = tuple(row) if min(row) <= self.k else None
-        self.arcs[key] = out
-        return out
-
-
-def trie_of(words: list[str]) -> dict:
-    """Nested dicts by letter; a word ends at the key ''."""
-    root: dict = {}
-    for word in words:
-        node = root
-        for c in word:
-            node = node.setdefault(c, {})
-        node[""] = word
-    return root
-
-
-def neighbours(trie: dict, automaton: Levenshtein) -> list[tuple[str, int]]:
-    """(word, distance) of the trie's words that the automaton accepts."""
-    out, todo = [], [(trie, automaton.start)]
-    while todo:
-        node, state = todo.pop()
-        for c, child in node.items():
-            if c == "":
-                if state[-1] <= automaton.k:
-                    out.append((child, state[-1]))
-            elif (after := automaton.step(state, c)) is not None:
-                todo.append((child, after))
-    return out
-
-
-def pieces(word: str, k: int) -> list[tuple[int, int, int]]:
-    """(number, from, to) of the k + 1 pieces of a word."""
-    n = len(word)
-    cuts = [round(i * n / (k + 1)) for i in range(k + 2)]
+from tidemark.llm.spelling import code_points
+from tidemark.session import materialize
+
+#: Most edits that slips_allowed() ever allows.
+MOST = 3
+#: Visits that go down the tries at once, and queries or strings of one shard beyond which it is split.
+PORTION, SPLIT = 20_000, 20_000
+#: Visits of one task.
+TASK = 100_000
+
+_DEAD = np.uint8(9)
+
+
+class Tries:
+    """Tries of shards: `words` in order of shard, distinct within a shard and of equal length there."""
+
+    def __init__(self, shards: np.ndarray, words: list[str]):
+        letters = code_points(words)
+        self.size = np.array([len(w) for w in words], np.int32)
+        # the number of first letters that a word shares with the one before in its shard
+        new = np.ones(len(words), bool)
+        new[1:] = shards[1:] != shards[:-1]
+        same = np.zeros(letters.shape, bool)
+        same[1:] = letters[1:] == letters[:-1]
+        shared = np.where(new, -1, np.where(same.all(axis=1), letters.shape[1], (~same).argmax(axis=1)))
+        self.first = np.flatnonzero(new)  # the root of every shard, in order
+        self.chars: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        self.start: list[np.ndarray] = []  # children of node x of a depth: start[x] to start[x + 1] of the next depth
+        self.word: list[np.ndarray] = []  # first word below a node: the word itself where it ends here
+        node = np.cumsum(new) - 1
+        rows = np.arange(len(words))
+        for depth in range(1, int(self.size.max(initial=0)) + 1):
+            self.word.append(rows[np.unique(node, return_index=True)[1]] if depth > 1 else self.first)
+            deep = self.size[rows] >= depth
+            parents = len(self.word[-1])
+            rows, node = rows[deep], node[deep]
+            fresh = shared[rows] < depth
+            self.start.append(np.searchsorted(node[fresh], np.arange(parents + 1)))
+            self.chars.append(letters[rows[fresh], depth - 1])
+            node = np.cumsum(fresh) - 1
+        self.word.append(rows[np.unique(node, return_index=True)[1]] if len(rows) else rows)
+
+    def walk(self, roots: np.ndarray, queries: np.ndarray, size: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(visit, word, distance) of every word that the automaton of a visit accepts.
+
+        A visit is a root (number of the shard), a query (row of code points), its size and the edits allowed.
+        """
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        padded = np.zeros((queries.shape[0], queries.shape[1] + 2 * MOST + int(self.size.max(initial=0)) + 1), np.uint32)
+        padded[:, MOST : MOST + queries.shape[1]] = queries
+        visit, node = np.arange(len(roots)), roots
+        # column o of a state: distance of the path to the first depth + o - MOST letters of the query
+        state = np.full((2 * MOST + 1, len(roots)), _DEAD, np.uint8)
+        for o in range(MOST, 2 * MOST + 1):
+            state[o] = np.where(size >= o - MOST, o - MOST, _DEAD)
+        for depth in range(1, len(self.chars)):
+            low = self.start[depth - 1][node]
+            many = self.start[depth - 1][node + 1] - low
+            if not many.sum():
+                break
+            parent = np.repeat(np.arange(len(node)), many)
+            node = np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many) + low[parent]
+            visit = visit[parent]
+            char = self.chars[depth][node]
+            before, state = state, np.full((2 * MOST + 1, len(node)), _DEAD, np.uint8)
+            length, bound = size[visit], edits[visit]
+            for o in range(2 * MOST + 1):
+                at = depth + o - MOST  # letters of the query read in this column
+                if at < 0:
+                    continue
+                cell = before[o][parent] + (padded[visit, at + MOST - 1] != char) if at else np.full(len(node), _DEAD, np.uint8)
+                if o < 2 * MOST:
+                    cell = np.minimum(cell, before[o + 1][parent] + 1)
+                if o:
+                    cell = np.minimum(cell, state[o - 1] + 1)
+                state[o] = np.where(at <= length, np.minimum(cell, _DEAD), _DEAD)
+            alive = state.min(axis=0) <= bound
+            visit, node, state = visit[alive], node[alive], state[:, alive]
+            word = self.word[depth][node]
+            shift = size[visit] - depth + MOST
+            ends = (self.size[word] == depth) & (shift >= 0) & (shift <= 2 * MOST)
+            if ends.any():
+                distance = state[shift[ends], np.flatnonzero(ends)]
+                good = distance <= edits[visit[ends]]
+                found.append((visit[ends][good], word[ends][good], distance[good]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
+
+
+def pieces(length: int, k: int) -> list[tuple[int, int, int]]:
+    """(number, from, to) of the k + 1 pieces of a word of this length."""
+    cuts = [round(i * length / (k + 1)) for i in range(k + 2)]
     return [(i, cuts[i], cuts[i + 1]) for i in range(k + 1)]
 
 
@@ -76,8 +121,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for word in pdf["known"]:
-            k = slips_allowed(len(word))
-            out += [(f"{len(word)}|{i}|{word[a:b]}", word) for i, a, b in pieces(word, k)]
+            out += [(f"{len(word)}|{i}|{word[a:b]}", word) for i, a, b in pieces(len(word), slips_allowed(len(word)))]
         yield pd.DataFrame(out, columns=["shard", "known"])
 
 
@@ -86,48 +130,66 @@ def _probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for word in pdf["query"]:
             n = len(word)
-            for length in range(max(1, n - 3), n + 4):
+            names = set()
+            for length in range(max(1, n - MOST), n + MOST + 1):
                 k = slips_allowed(length)
                 shift = n - length
                 if abs(shift) > k:
                     continue
-                for i, a, b in pieces("x" * length, k):
+                for i, a, b in pieces(length, k):
                     lo, hi = max(0, a - i, a + shift - (k - i)), min(n - (b - a), a + i, a + shift + (k - i))
-                    out += [(f"{length}|{i}|{word[at : at + b - a]}", word) for at in range(lo, hi + 1)]
-        yield pd.DataFrame(out, columns=["shard", "query"]).drop_duplicates()
+                    names.update(f"{length}|{i}|{word[at : at + b - a]}" for at in range(lo, hi + 1))
+            out += [(name, word) for name in names]
+        yield pd.DataFrame(out, columns=["shard", "query"])
 
 
 def _walk(key: tuple, queries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    tries = {shard: trie_of(list(words)) for shard, words in known.groupby("shard")["known"]}
-    out: dict[tuple[str, str], int] = {}
-    by_word: dict[str, list[str]] = defaultdict(list)
-    for shard, word in zip(queries["shard"], queries["query"], strict=True):
-        by_word[word].append(shard)
-    for word, shards in by_word.items():
-        machines: dict[int, Levenshtein] = {}
-        for shard in shards:
-            trie = tries.get(shard)
-            if trie is not None:
-                k = slips_allowed(int(shard.split("|", 1)[0]))
-                machine = machines.setdefault(k, Levenshtein(word, k))
-                for found, distance in neighbours(trie, machine):
-                    out[(word, found)] = distance
-    return pd.DataFrame([(q, w, d) for (q, w), d in out.items()], columns=["query", "known", "slips"])
+    columns = ["query", "known", "slips"]
+    if queries.empty or known.empty:
+        return pd.DataFrame([], columns=columns)
+    known = known.sort_values(["shard", "known"], ignore_index=True)
+    words = known["known"].tolist()
+    shards, names = pd.factorize(known["shard"])
+    tries = Tries(shards, words)
+    numbers = pd.Series(np.arange(len(names)), index=names)
+    roots = queries["shard"].map(numbers)
+    queries = queries[roots.notna()]
+    roots = roots[roots.notna()].to_numpy(np.int64)
+    edits = np.array([slips_allowed(int(tries.size[i])) for i in tries.first], np.uint8)[roots]
+    typed = queries["query"].tolist()
+    out = []
+    for at in range(0, len(typed), PORTION):
+        some = typed[at : at + PORTION]
+        size = np.array([len(w) for w in some], np.int32)
+        visit, word, slips = tries.walk(roots[at : at + PORTION], code_points(some), size, edits[at : at + PORTION])
+        out.append(pd.DataFrame({"query": [some[v] for v in visit], "known": [words[w] for w in word], "slips": slips.astype(np.int32)}))
+    # the pieces of one spelling lie in several shards
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame([], columns=columns)
 
 
 def trie_join(queries: DataFrame, known: DataFrame, buckets: int | None = None) -> DataFrame:
     """Pairs (query, known, slips) of distinct strings with slips <= slips_allowed(length of known).
 
-    `queries` has a column query, `known` a column known; null and empty strings match nothing.
+    `queries` has a column query, `known` a column known; null and empty strings match nothing. `buckets` is the number
+    of tasks' groups, by default one for TASK visits.
     """
-    spark = queries.sparkSession
-    buckets = buckets or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     index = known.select("known").where("known <> ''").distinct().mapInPandas(_index, "shard string, known string")
+    index = materialize(index, "trie-index")
     probes = queries.select("query").where("query <> ''").distinct().mapInPandas(_probes, "shard string, query string")
+    held = index.groupBy("shard").agg(F.count("*").alias("words"))
     # only shards that exist are visited
-    probes = probes.join(index.select("shard").distinct(), "shard", "left_semi")
-    bucket = F.pmod(F.xxhash64("shard"), F.lit(buckets))
-    left = probes.withColumn("bucket", bucket)
-    right = index.withColumn("bucket", bucket)
+    probes = materialize(probes.join(held.select("shard"), "shard", "left_semi"), "trie-visits")
+    asked = probes.groupBy("shard").agg(F.count("*").alias("visits"))
+    size = asked.join(held, "shard").withColumns({"q_parts": F.ceil(F.col("visits") / SPLIT), "k_parts": F.ceil(F.col("words") / SPLIT)})
+    hot = materialize(size.where("q_parts > 1 or k_parts > 1").select("shard", "q_parts", "k_parts"), "trie-hot")
+    buckets = buckets or max(1, probes.count() // TASK + 1)
+
+    def split(df: DataFrame, word: str, own: str, other: str) -> DataFrame:
+        df = df.join(hot, "shard", "left").fillna(1, ["q_parts", "k_parts"])
+        df = df.withColumn("mine", F.pmod(F.xxhash64(word), F.col(own))).withColumn("theirs", F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int"))))
+        q, k = ("mine", "theirs") if word == "query" else ("theirs", "mine")
+        return df.select("shard", word, F.pmod(F.xxhash64("shard", F.col(q).cast("long"), F.col(k).cast("long")), F.lit(buckets)).alias("bucket"))
+
+    left, right = split(probes, "query", "q_parts", "k_parts"), split(index, "known", "k_parts", "q_parts")
     pairs = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_walk, "query string, known string, slips int")
     return pairs.groupBy("query", "known").agg(F.min("slips").alias("slips"))

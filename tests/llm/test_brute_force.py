@@ -318,3 +318,38 @@ def test_batches_agree_with_all_pairs_on_exact_repeats(spark, small):
             assert r.intake_id in got and got[r.intake_id] <= seen[key]
         seen.setdefault(key, r.intake_id)
     assert all(k < n for n, k in got.items()) and not set(got.values()) & set(got)
+
+
+def planted_claims():
+    """60 items: three honest sources that err on their own, and a liar whose values three others copy."""
+    rng, rows, truth = random.Random(5), [], {}
+    for g in range(60):
+        truth[g] = f"t{g}"
+        said = {s: truth[g] if rng.random() < 0.9 else f"{s}{rng.randint(0, 19)}" for s in "ABC"}
+        lie = truth[g] if rng.random() < 0.4 else f"lie{g}"
+        said |= dict.fromkeys("LMNO", lie)
+        rows += [("f", g, 10 * g + k, s, v, 1.0, 0.0) for k, (s, v) in enumerate(said.items())]
+    return rows, truth
+
+
+def test_fusion_finds_copiers_where_plain_counts_follow_them(spark):
+    rows, truth = planted_claims()
+    claims = spark.createDataFrame(rows, "field string, group_id long, record_id long, source string, value string, weight double, prior double")
+    got = {r.group_id: r.value for r in fusion.fuse(claims).where("best").collect()}
+    counted = {g: Counter(r[4] for r in rows if r[1] == g).most_common(1)[0][0] for g in truth}
+    right = lambda said: sum(said.get(g) == t for g, t in truth.items()) / len(truth)
+    assert right(counted) < 0.6 and right(got) > 0.9
+
+
+def test_sources_that_differ_are_independent():
+    accuracy = np.full(2, 0.7)
+    together = lambda false, true, both: np.array([[[0, n], [n, 0]] for n in (false, true, both)], float)
+    assert fusion.dependence(together(3, 40, 100), accuracy)[0, 1] < 0.01  # chance hits among many items
+    assert fusion.dependence(together(30, 40, 80), accuracy)[0, 1] > 0.99
+    assert fusion.dependence(together(0, 0, 0), accuracy)[0, 1] == 0.0
+
+
+def test_nothing_is_chosen_where_only_doubtful_values_are_claimed(spark):
+    rows = [("f", 1, k, f"s{k}", "BAD_", fusion.DOUBTFUL, fusion.DOUBT) for k in range(6)] + [("f", 2, 9, "s1", "Good", 1.0, 0.0)]
+    claims = spark.createDataFrame(rows, "field string, group_id long, record_id long, source string, value string, weight double, prior double")
+    assert [(r.group_id, r.value) for r in fusion.fuse(claims).where("best").collect()] == [(2, "Good")]

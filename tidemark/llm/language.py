@@ -9,7 +9,8 @@ run is then classified as a whole and rejected when its nearest centroid is too
 Defined results: names (capitalised words in a row, letters that no labelled text has), hesitations, sound annotations,
 speaker labels and numbers have no language; text without any words, null or blank text gives no row; equal cosines go
 to the language that sorts first; repeated segments count once; without labelled documents nothing is classified.
-The classifier is fitted on a bounded sample of labelled rows, SAMPLE_PER_LABEL of each label; all else covers all rows.
+The classifier is fitted on a bounded sample of labelled rows, about SAMPLE_PER_LABEL of each language of LANGUAGE_NAMES;
+all else covers all rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.turns import current_videos, cut_segment
@@ -254,7 +255,7 @@ def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, round
             start.append(part)
     matrix = np.zeros((len(vocab), len(start)), np.float32)
     for c, part in enumerate(start):
-        for r in part[:60]:
+        for r in part:
             matrix[index[r], c] += data[r]
     matrix /= np.maximum(np.sqrt((matrix**2).sum(axis=0)), 1e-9)
     at = np.zeros(len(rows), int)
@@ -283,13 +284,19 @@ def fit(samples: list[tuple[str, str, float]], centroids: int = CENTROIDS, round
     return Centroids(real, owner, vocab, idf, np.ascontiguousarray(matrix[:, good]), frozenset(w for w, n in known.items() if n > 1))
 
 
+def _code(label: str) -> Column:
+    """The two-letter code of a column of labels, as code_of() has it."""
+    base = F.lower(F.element_at(F.split(F.trim(label), r"[-_\s(]", 2), 1))
+    return F.coalesce(*[F.when(base.isin(names.split()), F.lit(c)) for c, names in LANGUAGE_NAMES.items()])
+
+
 def model(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Centroids:
-    """Centroids fitted on about `per_label` documents of each label."""
-    labelled = documents.where("lang is not null and length(text) > 0").select("doc_id", "lang", "text")
+    """Centroids fitted on about `per_label` documents of each language labelled, in whatever notation, whole texts."""
+    labelled = documents.where("length(text) > 0").select("doc_id", _code("lang").alias("lang"), "text").where("lang is not null")
     every = F.greatest(F.lit(1), F.floor(F.col("n") / per_label))
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), every) == 0).where(F.length("text") < 20_000)
-    rows = sample.select("lang", "text", every.cast("double").alias("weight"), "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id").limit(per_label * 60).collect()
+    sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), every) == 0)
+    rows = sample.select("lang", "text", every.cast("double").alias("weight"), "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
     return fit([(r.lang, r.text, r.weight) for r in rows])
 
 
@@ -358,9 +365,7 @@ def video_languages(videos: DataFrame, transcripts: DataFrame, documents: DataFr
 def _labels(videos: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("language"), F.coalesce("fetched_at", F.lit(0).cast("timestamp"))).alias("v")
     rows = videos.where("video_id is not null").groupBy("video_id").agg(last).select("video_id", F.col("v.language").alias("label"))
-    base = F.lower(F.element_at(F.split(F.trim("label"), r"[-_\s(]", 2), 1))
-    code = F.coalesce(*[F.when(base.isin(names.split()), F.lit(c)) for c, names in LANGUAGE_NAMES.items()])
-    return rows.withColumn("labelled", code)
+    return rows.withColumn("labelled", _code("label"))
 
 
 def found(videos: DataFrame, transcripts: DataFrame, documents: DataFrame) -> DataFrame:

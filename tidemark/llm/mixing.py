@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import TOKENIZERS, token_count
 from tidemark.session import materialize
 
-#: Slots into which the hash range of one pass and the time range of the mix are cut.
-SLOTS = 256
+#: Rows of one slot (about), and the least slots: the hash range of a source and the time range of the mix are cut into
+#: as many slots as their rows need, so the rows of a task don't grow with the data.
+SLOT_ROWS, LEAST_SLOTS = 20_000, 16
 
 
 def running_sum(df: DataFrame, value: str, key: list[str], slot: Column, order: list[str], name: str) -> DataFrame:
@@ -63,16 +64,24 @@ def mix(documents: DataFrame, targets: DataFrame, budget: float | None = None, t
     return _mixed(docs, plan(docs, targets), budget)
 
 
+def _slots(rows: int) -> int:
+    return max(LEAST_SLOTS, -(-rows // SLOT_ROWS))
+
+
 def _mixed(docs: DataFrame, plan_: DataFrame, budget: float | None) -> DataFrame:
     limit = F.lit(float(budget)) if budget is not None else F.col("feasible")
-    # a source needs no more passes than its share of the budget takes
-    passes = F.least(F.col("max_repeats"), F.ceil(limit * F.col("weight") / F.col("available")) + 1).cast("int")
-    weights = F.broadcast(plan_.where("weight is not null").select("source", "weight", limit.alias("budget"), passes.alias("passes")))
-    rows = docs.join(weights, "source").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).drop("passes")
-    slot = F.col("pass") * SLOTS + F.floor((F.col("place") + F.lit(2**39)) / F.lit(2**40 // SLOTS))
-    rows = running_sum(rows, "tokens", ["source"], slot, ["pass", "place", "doc_id"], "used")
+    weights = F.broadcast(plan_.where("weight is not null").select("source", "weight", "available", "max_repeats", limit.alias("budget")))
+    largest = plan_.agg(F.max("documents")).first()[0] or 0
+    slots = _slots(largest)
+    slot = F.floor((F.col("place") + F.lit(2**39)) / F.lit(2.0**40) * slots)
+    once = running_sum(docs, "tokens", ["source"], slot, ["place", "doc_id"], "used").join(weights, "source")
+    # every pass goes through the source in the same order: a document's sum in pass p is p - 1 whole passes more
+    passes = F.least(F.col("max_repeats"), F.floor((F.col("weight") * F.col("budget") - F.col("used")) / F.col("available")) + 1).cast("int")
+    rows = once.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(1), passes)))
+    rows = rows.withColumn("used", F.col("used") + (F.col("pass") - 1) * F.col("available"))
     rows = rows.withColumn("finish", F.col("used") / F.col("weight")).where(F.col("finish") <= F.col("budget"))
-    moment = F.floor(F.col("finish") / F.col("budget") * SLOTS)
+    expected = plan_.agg(F.sum(F.col("documents") * F.col("max_repeats"))).first()[0] or 0
+    moment = F.floor(F.col("finish") / F.col("budget") * _slots(expected))
     rows = running_sum(rows.withColumn("_all", F.lit(1)), "tokens", ["_all"], moment, ["finish", "source", "doc_id", "pass"], "total")
     return rows.where(F.col("total") <= F.col("budget")).select("source", "doc_id", "pass", "tokens", "finish", "total")
 

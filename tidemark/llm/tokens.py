@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 TOKENIZERS = "/opt/tokenizers"
 #: Words kept with their ids per worker; only speed depends on it.
 WORD_CACHE = 400_000
+#: Arcs kept decided per worker; only speed depends on it.
+ARC_CACHE = 2_000_000
 
 
 class MergeAutomaton:
@@ -76,6 +78,8 @@ class MergeAutomaton:
         """Whether state a has an arc labelled b."""
         found = self.open.get((a, b))
         if found is None:
+            if len(self.open) >= ARC_CACHE:
+                self.open.clear()
             found = self.open[(a, b)] = not self._cut(a, b)
         return found
 

@@ -25,7 +25,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemark.plans import aggregates, extraction, incremental, pairs, profiles, ranking, relational, retrieval, scalars, search  # noqa: F401
+    from tidemark.plans import aggregates, extraction, incremental, merging, pairs, profiles, ranking, relational, resolution, retrieval, scalars, search  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

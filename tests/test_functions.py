@@ -160,14 +160,6 @@ def test_greedy_clusters_and_diversity_equal_plain_loops(spark):
             hit = len(seeds) - 1
         want.append(hit)
     assert sequential.greedy(points, 2.0) == want
-    rows = [("c", rng.choice("xyz"), rng.random(), k) for k in range(40)]
-    taken, expect = {}, []
-    for _, kind, _, k in sorted(rows, key=lambda r: -r[2]):
-        taken[kind] = taken.get(kind, 0) + 1
-        if taken[kind] <= 3:
-            expect.append(k)
-    got = sequential.diversify(spark.createDataFrame(rows, "c string, t string, s double, k long"), "c", "t", "s", "k", 3).orderBy("rank").collect()
-    assert [r.k for r in got] == expect
 
 
 def test_word_correction_equals_all_pairs(spark):

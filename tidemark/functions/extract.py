@@ -74,7 +74,7 @@ def fenced_json(text: Column) -> Column:
 
 def as_list(text: Column) -> Column:
     """A comma-separated value as an array of trimmed, non-empty parts; empty for null."""
-    return F.coalesce(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def as_flag(text: Column) -> Column:

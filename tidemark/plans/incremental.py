@@ -28,11 +28,6 @@ def stage_machine(spark: SparkSession, d: str) -> DataFrame:
     return incremental.replay(_ops(spark, d), "user_id", "op", "ts", "event_id")
 
 
-@register(f"select user_id, status from {_MACHINE} where status not in ('complete', 'pending') and retry_count < 30")
-def pending_work(spark: SparkSession, d: str) -> DataFrame:
-    return stage_machine(spark, d).where("status not in ('complete', 'pending') and retry_count < 30").select("user_id", "status")
-
-
 @register("""with o as (select o_custkey as k, o_totalprice as p, o_orderdate as t, o_orderstatus as s, o_orderkey as i, o_orderdate >= timestamp '1996-01-01' as n from orders), g as (select k, n, sum(p) as p, max(t) as t, arg_max(s, (t, i)) as s from o group by all)
 select k as c_key, round(sum(p), 4) as total, arg_max(s, (t, n)) as last_status, max(t) as last_at, case when count(*) = 2 then 'merged' when bool_and(n) then 'created' else 'untouched' end as status from g group by 1""")
 def incremental_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -220,13 +220,6 @@ def data_quality_band(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register()
-def diversified(spark: SparkSession, d: str) -> DataFrame:
-    """Results per city in order of score with at most three of a kind; a sequential rule, tested against brute force."""
-    rows = table(spark, d, "canonical_entities").where("city is not null")
-    return sequential.diversify(rows, "city", "entity_type", "confidence_score", "entity_no", 3)
-
-
 @register()
 def geo_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Greedy clusters of two kilometres per city, in order of id; order-dependent, tested against brute force."""

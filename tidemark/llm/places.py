@@ -161,7 +161,7 @@ def resolve_places(values: DataFrame, places: DataFrame, threshold: float = MIN_
     slips = F.when(length <= 3, 0).when(length <= 5, 1).when(length <= 8, 2).otherwise(3).cast("int")
     spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = similar_spellings(segments, spellings, threshold).repartition(spread, "form").withColumn("slips", _slips("form", "spelling", slips)).where(F.col("slips") <= slips)
-    best = Window.partitionBy("form").orderBy("slips", F.desc("jaccard"))
+    best = Window.partitionBy("form").orderBy(F.desc("jaccard"), "slips")
     near = near.withColumn("best", F.rank().over(best)).where("best = 1")
     hits = near.join(spellings.drop("grams"), "spelling").select("form", "place_id", "kind", "of_country", "slips", "jaccard").distinct()
     hits = materialize(hits, "place-hits")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.names import slips_allowed
 from tidemark.llm.spelling import grams, within_many
-from tidemark.llm.variants import bare_name, entities_of, known_forms, listed_city, typed_forms, with_place
+from tidemark.llm.variants import entities_of, known_forms, listed_city, typed_forms, with_place
 from tidemark.session import cut_lineage, materialize, scratch_path
 
 #: Bands and rows of the keys within one city, and of those without a city.
@@ -309,7 +309,7 @@ def deduplicate(intake: DataFrame, canonical: DataFrame | None, places: DataFram
         F.col("intake_id").alias("record"), F.coalesce("batch_no", F.lit(2**31 - 1)).cast("int").alias("batch_no"),
         F.col("entity_name").alias("name"), "entity_type", "location", "city", "country",
     )
-    rows = with_place(rows, places, "name").withColumns({"unlisted": F.col("place_status") == "unlisted", "name": bare_name()})
+    rows = with_place(rows, places, "name").withColumn("unlisted", F.col("place_status") == "unlisted")
     # equal rows of a batch are looked up once, by their first record
     equal = Window.partitionBy("batch_no", "name", "entity_type", "city_id", "country_id", "unlisted").orderBy("record")
     rows = rows.withColumn("first", F.first("record").over(equal)).select("record", "first", "batch_no", "name", "entity_type", "city_id", "country_id", "unlisted")

@@ -70,18 +70,38 @@ def _close(word: str, form: str, least: int) -> bool:
     return len(form) >= least and abs(len(word) - len(form)) <= k and within(word, form, k) <= k
 
 
+_ORDER = {" ".join(phrase): k for k, (phrase, _) in reversed(list(enumerate(_PHRASES)))}
+_BY_PLACE = [{size: sorted({p[at] for p, _ in _PHRASES if len(p) == size}) for size in (1, 2)} if not at else {2: sorted({p[1] for p, _ in _PHRASES if len(p) == 2})} for at in (0, 1)]
+
+
+@lru_cache(maxsize=200_000)
+def _near_forms(word: str, at: int, size: int) -> frozenset[str]:
+    """The words that stand at a place of a kind's phrase of this size and that `word` is a spelling of."""
+    least = 3 if size > 1 else 4
+    return frozenset(form for form in _BY_PLACE[at][size] if _close(word, form, least))
+
+
 def _kind_at(words: list[str]) -> tuple[int, int, str] | None:
     """(from, to, kind) of the kind's phrase in the words: more words before fewer, exact before close, ends before the middle."""
     n = len(words)
     for size in (2, 1):
+        if size > n:
+            continue
+        starts = list(dict.fromkeys([n - size, 0, *range(n - size, -1, -1)]))
         for exact in (True, False):
-            for phrase, kind in _PHRASES:
-                if len(phrase) != size or size > n:
-                    continue
-                for at in dict.fromkeys([n - size, 0, *range(n - size, -1, -1)]):
-                    part = words[at : at + size]
-                    if part == phrase if exact else all(_close(w, p, 3 if size > 1 else 4) for w, p in zip(part, phrase, strict=True)):
-                        return at, at + size, kind
+            found = []
+            for rank, at in enumerate(starts):
+                part = words[at : at + size]
+                if exact:
+                    said = [" ".join(part)]
+                elif size == 1:
+                    said = list(_near_forms(part[0], 0, 1))
+                else:
+                    said = [f"{x} {y}" for x in _near_forms(part[0], 0, 2) for y in _near_forms(part[1], 1, 2)]
+                found += [(_ORDER[p], rank, at) for p in said if p in _ORDER and p.count(" ") == size - 1]
+            if found:
+                order, _, at = min(found)
+                return at, at + size, _PHRASES[order][1]
     return None
 
 

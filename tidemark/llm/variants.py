@@ -14,8 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.names import index_forms, parse, query_forms, without_city
 from tidemark.llm.places import resolve_places
@@ -60,32 +61,30 @@ def typed_forms(names: DataFrame) -> DataFrame:
     return names.select("name").where("name is not null").distinct().mapInPandas(_typed, "name string, form string, query string, kind string, turn int")
 
 
-def _places_behind(names: pd.Series) -> pd.Series:
-    return names.map(lambda n: parse(n).at or None)
+@F.pandas_udf(T.StructType([T.StructField("behind", T.StringType()), T.StructField("bare", T.StringType())]))
+def _name_parts(names: pd.Series, cities: pd.Series, locations: pd.Series) -> pd.DataFrame:
+    """The place named behind a name (null without one), and the name without the row's own city or location at its end."""
+    return pd.DataFrame({
+        "behind": pd.Series([parse(n).at or None for n in names], dtype="object"),
+        "bare": pd.Series([without_city(n, c, x) for n, c, x in zip(names, cities, locations, strict=True)], dtype="object"),
+    })
 
 
 def with_place(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """`rows` (location, city, country and the typed `name`) with city_id, country_id, place_status.
+    """`rows` (location, city, country and the typed `name`) with city_id, country_id, place_status, and the bare name.
 
-    A place named behind the name counts where no other value names one.
+    A place named behind the name counts where no other value names one; it is the location then. The name comes out
+    without the row's own city or location at its end. The rows are written once, since they are used several times.
     """
-    behind = F.pandas_udf(_places_behind, "string")
-    rows = rows.withColumn("_l", F.coalesce(F.when(F.trim("location") != "", F.col("location")), behind(F.col(name))))
-    values = rows.select(F.col("_l").alias("location"), "city", "country").distinct()
+    rows = rows.withColumn("_parts", _name_parts(F.col(name), F.col("city"), F.col("location")))
+    place = F.coalesce(F.when(F.trim("location") != "", F.col("location")), F.col("_parts.behind"))
+    rows = materialize(rows.withColumns({"location": place, name: F.col("_parts.bare")}).drop("_parts"), "named")
+    values = rows.select("location", "city", "country").distinct()
     placed = resolve_places(values, places).select(
         F.col("location").alias("_l2"), F.col("city").alias("_c2"), F.col("country").alias("_k2"), "city_id", "country_id", F.col("status").alias("place_status")
     )
-    same = F.col("_l").eqNullSafe(F.col("_l2")) & F.col("city").eqNullSafe(F.col("_c2")) & F.col("country").eqNullSafe(F.col("_k2"))
-    return rows.join(placed, same, "left").drop("_l", "_l2", "_c2", "_k2").fillna({"place_status": "none", "city_id": 0, "country_id": 0})
-
-
-def _bare(names: pd.Series, cities: pd.Series, locations: pd.Series) -> pd.Series:
-    return pd.Series([without_city(n, c, x) for n, c, x in zip(names, cities, locations, strict=True)], dtype="object")
-
-
-def bare_name(name: str = "name") -> Column:
-    """The typed name without the row's own city or location at its end."""
-    return F.pandas_udf(_bare, "string")(name, "city", "location")
+    same = F.col("location").eqNullSafe(F.col("_l2")) & F.col("city").eqNullSafe(F.col("_c2")) & F.col("country").eqNullSafe(F.col("_k2"))
+    return rows.join(placed, same, "left").drop("_l2", "_c2", "_k2").fillna({"place_status": "none", "city_id": 0, "country_id": 0})
 
 
 def listed_city(entities: DataFrame, places: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def link(mentions: DataFrame, entities: DataFrame, places: DataFrame) -> DataFra
     values = ["name", "entity_type", "location", "city", "country"]
     distinct = mentions.select(*values).distinct()
     key = F.xxhash64(*[F.coalesce(c, F.lit("\u0000")) for c in values])
-    distinct = with_place(distinct.withColumn("key", key), places, "name").withColumn("name", bare_name())
+    distinct = with_place(distinct.withColumn("key", key), places, "name")
     distinct = materialize(distinct, "placed-names")
     candidates = name_candidates(distinct.select("name"), entities)
     facts = listed_city(entities, places).join(entities.select("entity_id", F.col("entity_type").alias("e_type")), "entity_id")

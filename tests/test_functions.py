@@ -196,5 +196,5 @@ def test_all_locations_are_normalized(spark, small):
         return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s\-']", "", x)).strip()
 
     given = {r.location for r in table(spark, small, "extracted_entities").where("location is not null").collect()}
-    got = {r.location: r.normalized for r in queries()["all_normalized_locations"](spark, small).collect()}
+    got = {r.location: r.normalized for r in queries()["normalized_locations"](spark, small).collect()}
     assert got == {x: plain(x) for x in given} and any(not x.isascii() for x in given)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and the plain letters they fold to.
-MARKED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuucnyy"
+# Latin letters with marks and the plain letters that NFKD leaves of them.
+_FOLDED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and unicodedata.decomposition(c)}
+MARKED, PLAIN = ("".join(x) for x in zip(*((c, p) for c, p in _FOLDED.items() if "a" <= p <= "z" and all(map(unicodedata.combining, unicodedata.normalize("NFKD", c)[1:]))), strict=True))
 
 
 def fold_marks(c: Column) -> Column:

@@ -245,11 +245,11 @@ def experience_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return mentions(spark, d).groupBy("video_id", key.alias("key")).agg(F.min("mention_id").alias("kept"), F.count("*").alias("copies"))
 
 
-@register(f"""select translate(lower(entity_name), '{MARKED}', '{PLAIN}') as folded, count(*) as n from {_ONCE} where entity_name is not null group by 1 having count(*) > 2""")
+@register(f"""select translate(lower(entity_name), '{MARKED}', '{PLAIN}') as folded, count(*) as n from {_ONCE} where entity_name is not null group by 1""")
 def folded_names(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.functions.text import fold_marks
 
-    return mentions(spark, d).where("entity_name is not null").groupBy(fold_marks(F.col("entity_name")).alias("folded")).agg(F.count("*").alias("n")).where("n > 2")
+    return mentions(spark, d).where("entity_name is not null").groupBy(fold_marks(F.col("entity_name")).alias("folded")).agg(F.count("*").alias("n"))
 
 
 @register(f"""select trim(regexp_replace(regexp_replace(translate(lower(entity_name), '{MARKED}', '{PLAIN}'), '[^a-z0-9\\s\\-'']', '', 'g'), '\\s+', ' ', 'g')) as name, count(*) as n from {_ONCE} where entity_name is not null group by 1""")

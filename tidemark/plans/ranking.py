@@ -27,6 +27,12 @@ def trending_topk(spark: SparkSession, d: str) -> DataFrame:
     return latest(rows.where("change >= 10").select("event_type", "user_id", "change"), "event_type", [F.desc("change"), F.col("user_id")], 10)
 
 
+@register(f"""select event_type, user_id, round(last_value - first_value, 6) as change from {_TREND} where last_value - first_value <= -10 qualify row_number() over (partition by event_type order by round(last_value - first_value, 6), user_id) <= 10""")
+def declining_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = history.trend(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", "value", _DAYS)
+    return latest(rows.where("change <= -10").select("event_type", "user_id", "change"), "event_type", [F.asc("change"), F.col("user_id")], 10)
+
+
 @register("""select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 20""")
 def history_retention(spark: SparkSession, d: str) -> DataFrame:
     return latest(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 20).drop("ts")

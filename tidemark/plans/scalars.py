@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import parsing
-from tidemark.functions.text import city_key, normalize_location, normalize_name, url_hash, video_id
+from tidemark.functions.text import MARKED, PLAIN, city_key, normalize_location, normalize_name, url_hash, video_id
 from tidemark.plans.catalog import register
 from tidemark.session import table
 
@@ -56,14 +56,37 @@ def profile_keys(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").groupBy(F.concat_ws("_", "c_mktsegment", tier).alias("profile_key")).agg(F.count("*").alias("n"))
 
 
-@register("""with l as (select distinct location from extracted_entities where location is not null and regexp_full_match(location, '[\\x00-\\x7F]*')) select location, trim(regexp_replace(regexp_replace(regexp_replace(lower(location), '[,.\\-]', ' ', 'g'), '[^a-z0-9\\s\\-'']', '', 'g'), '\\s+', ' ', 'g')) as normalized from l""")
+@register(f"""with l as (select distinct location from extracted_entities where location is not null) select location, trim(regexp_replace(regexp_replace(translate(lower(regexp_replace(location, '[,.\\-]', ' ', 'g')), '{MARKED}', '{PLAIN}'), '[^a-z0-9\\s\\-'']', '', 'g'), '\\s+', ' ', 'g')) as normalized from l""")
 def normalized_locations(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "extracted_entities").where("location is not null").where(F.col("location").rlike(r"^[\x00-\x7F]*$")).select("location").distinct()
+    """Every typed location, marks and other scripts included, in its normal form."""
+    rows = table(spark, d, "extracted_entities").where("location is not null").select("location").distinct()
     return rows.select("location", normalize_location(F.col("location")).alias("normalized"))
 
 
-@register()
-def all_normalized_locations(spark: SparkSession, d: str) -> DataFrame:
-    """normalized_locations over every location, marks and other scripts included; checked against brute force in the tests."""
-    rows = table(spark, d, "extracted_entities").where("location is not null").select("location").distinct()
-    return rows.select("location", normalize_location(F.col("location")).alias("normalized"))
+# Currencies as they are named behind an amount, and what one is in baht.
+_RATES = {"baht": 1.0, "thb": 1.0, "usd": 35.0, "dollar": 35.0, "euro": 38.0, "eur": 38.0, "$": 35.0, "฿": 1.0, "€": 38.0}
+_AMOUNT = r"(\d+[\d,]*\.?\d*)\s*(baht|thb|usd|dollar|euro|eur|\$|฿|€)"
+
+
+@register(f"""with t as (select mention_id, lower(replace(coalesce(cost_mentioned, ''), 'marks', case mention_id % 3 when 0 then 'baht' when 1 then 'USD' else '€' end) || ' ' || coalesce(experience, '')) as x from (select distinct on (mention_id) * from extracted_entities)),
+a as (select mention_id, unnest(regexp_extract_all(x, '{_AMOUNT}', 1)) as n, unnest(regexp_extract_all(x, '{_AMOUNT}', 2)) as c from t) select mention_id, count(*) as amounts, round(min(v), 4) as least, round(max(v), 4) as most, round(avg(v), 4) as mean from
+(select mention_id, replace(n, ',', '')::double * case c when 'usd' then 35.0 when 'dollar' then 35.0 when '$' then 35.0 when 'eur' then 38.0 when 'euro' then 38.0 when '€' then 38.0 else 1.0 end::double as v from a) group by 1""")
+def cost_amounts(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts named with a currency, in baht by fixed rates: how many, least, most, mean."""
+    m = table(spark, d, "extracted_entities").dropDuplicates(["mention_id"])
+    # the tables know one currency; three stand in for it
+    unit = F.when(F.col("mention_id") % 3 == 0, "baht").when(F.col("mention_id") % 3 == 1, "USD").otherwise("€")
+    x = F.lower(F.concat(F.replace(F.coalesce("cost_mentioned", F.lit("")), F.lit("marks"), unit), F.lit(" "), F.coalesce("experience", F.lit(""))))
+    rate = F.create_map(*[F.lit(v) for pair in _RATES.items() for v in pair])
+    value = lambda n, c: F.regexp_replace(n, ",", "").cast("double") * F.element_at(rate, c)
+    both = F.zip_with(F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(1)), F.regexp_extract_all(x, F.lit(_AMOUNT), F.lit(2)), value)
+    v = m.select("mention_id", F.explode(both).alias("v")).groupBy("mention_id")
+    return v.agg(F.count("*").alias("amounts"), F.round(F.min("v"), 4).alias("least"), F.round(F.max("v"), 4).alias("most"), F.round(F.avg("v"), 4).alias("mean"))
+
+
+@register(r"""select coalesce(lang, '') as lang, count(*) as documents, sum(ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * case when lang in ('hi', 'th') then 2.0 when lang = 'id' then 1.5 else 1.33 end))::bigint as tokens from documents where text is not null group by 1""")
+def token_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens estimated from words, by a ratio for each kind of language."""
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    ratio = F.when(F.col("lang").isin("hi", "th"), 2.0).when(F.col("lang") == "id", 1.5).otherwise(1.33)
+    return table(spark, d, "documents").where("text is not null").groupBy(F.coalesce("lang", F.lit("")).alias("lang")).agg(F.count("*").alias("documents"), F.sum(F.ceil(words * ratio)).cast("long").alias("tokens"))

@@ -51,7 +51,7 @@ def test_null_rows_long_texts_and_extra_columns(spark, plain, name):
     OPERATORS[name](odd).collect()
 
 
-@pytest.mark.parametrize("name", ["p1", "p3", "p5", "p6", "p9"])
+@pytest.mark.parametrize("name", ["p1", "p2", "p3", "p4", "p5", "p6", "p9"])
 def test_repeated_rows_change_nothing(plain, name):
     once = OPERATORS[name](plain)
     twice = OPERATORS[name]({k: df.unionByName(df) if k not in ("places", "review_labels") else df for k, df in plain.items()})

@@ -294,9 +294,10 @@ def model(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Centroids:
     """Centroids fitted on about `per_label` documents of each language labelled, in whatever notation, whole texts."""
     labelled = documents.where("length(text) > 0").select("doc_id", _code("lang").alias("lang"), "text").where("lang is not null")
     every = F.greatest(F.lit(1), F.floor(F.col("n") / per_label))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = labelled.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), every) == 0)
-    rows = sample.select("lang", "text", every.cast("double").alias("weight"), "doc_id").orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
+    sample = sample.groupBy("lang", "doc_id", every.cast("double").alias("weight")).agg(F.min("text").alias("text"))
+    rows = sample.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()
     return fit([(r.lang, r.text, r.weight) for r in rows])
 
 

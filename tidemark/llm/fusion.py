@@ -10,8 +10,8 @@ value of highest posterior, or none where that of "none of the values claimed" (
 
 Votes are pre-aggregated by item and value into sets of sources (bounded by the number of sources), and values of source
 pairs are counted as partial matrices per partition, so neither a group of a third of all rows nor its pairs are ever in
-one place. The MAX_SOURCES sources of most claims have accuracies and dependences of their own; further ones share one
-accuracy and count as independent.
+one place. Every source has an accuracy, and every two that meet in an item a dependence, of their own: up to MAX_SOURCES
+sources they are matrices, beyond that the same figures are tables, and the pairs of one item are many tasks' work.
 
 Defined results: null, blank and generic values claim nothing; a group without any right-looking name (latitude) has 0;
 ties go to the value claimed by more records, then to the smaller; repeated record_ids count once; a null group_id is left
@@ -34,8 +34,12 @@ from tidemark.llm.places import place_form
 from tidemark.llm.spelling import plain, sound, within
 from tidemark.session import materialize
 
-#: Sources (runs) with an accuracy and dependences of their own.
+#: Sources (runs) whose pairs are held as matrices; of more they are held as tables, with the same results.
 MAX_SOURCES = 1000
+#: Sources of one side of two chunks of an item whose pairs are told at once.
+PAIR_CHUNK = 256
+#: Accuracy of a source of which nothing is known, and the claims that this counts as.
+UNKNOWN, UNKNOWN_CLAIMS = 0.7, 4
 #: False values that a field is assumed to have, and the chance that a dependent source copies a value.
 FALSE_VALUES, COPIES = 20, 0.8
 #: Prior chance that two sources are dependent.
@@ -125,7 +129,7 @@ def _pair_counts(index: dict[str, int], size: int):
         counts = np.zeros((3, size, size), np.float32)
         for pdf in batches:
             for sources, kind in zip(pdf["sources"], pdf["kind"], strict=True):
-                ids = np.array(sorted({index[s] for s in sources if s in index}), np.int64)
+                ids = np.array(sorted(index[s] for s in sources), np.int64)
                 if len(ids) > 1:
                     counts[kind][np.ix_(ids, ids)] += 1
         for kind in range(3):
@@ -140,10 +144,9 @@ def _votes(shared):
 
     def run(sources: pd.Series, weight: pd.Series, prior: pd.Series) -> pd.Series:
         index, accuracy, depends = shared.value
-        other = len(index)
         totals = []
         for some, w, p in zip(sources, weight, prior, strict=True):
-            ids = sorted((index.get(s, other) for s in some), key=lambda i: (-accuracy[i], i))
+            ids = sorted((index[s] for s in some), key=lambda i: (-accuracy[i], i))
             total = 0.0
             for at, i in enumerate(ids):
                 # a vote counts by the chance that it wasn't copied from one counted before
@@ -155,6 +158,93 @@ def _votes(shared):
     return F.pandas_udf(run, T.DoubleType())
 
 
+class _Matrices:
+    """Accuracies and dependences of at most MAX_SOURCES sources, as arrays."""
+
+    def __init__(self, values: DataFrame, names: list[str]):
+        self.spark, self.index, self.size = values.sparkSession, {s: i for i, s in enumerate(names)}, len(names)
+        self.named = F.create_map(*[F.lit(x) for s, i in self.index.items() for x in (s, i)]) if names else F.create_map().cast("map<string,int>")
+        self.accuracy, self.depends = np.full(self.size, UNKNOWN), np.zeros((self.size, self.size), np.float32)
+
+    def scored(self, values: DataFrame) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast((self.index, self.accuracy.copy(), self.depends.copy()))
+        return values.withColumn("score", _votes(shared)("sources", "weight", "prior"))
+
+    def learn(self, out: DataFrame, counts: DataFrame, trusted: bool) -> None:
+        number = F.try_element_at(self.named, F.col("source"))
+        seen = [] if not trusted else out.select("posterior", F.explode("sources").alias("source")).groupBy(number.alias("i")).agg(F.avg("posterior").alias("a"), F.count("*").alias("n")).collect()
+        for r in seen:
+            self.accuracy[r.i] = min(0.98, max(0.3, (r.a * r.n + UNKNOWN * UNKNOWN_CLAIMS) / (r.n + UNKNOWN_CLAIMS)))
+        pairs = counts.mapInPandas(_pair_counts(self.index, self.size), "kind int, a int, b int, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+        together = np.zeros((3, self.size, self.size))
+        for r in pairs:
+            together[r.kind, r.a, r.b] = together[r.kind, r.b, r.a] = r.n
+        if trusted:
+            self.depends = dependence(together, self.accuracy)
+        else:
+            together[1] += together[0]
+            self.depends = dependence(together * [[[0.0]], [[1.0]], [[1.0]]], np.full(self.size, _accuracy_by_agreement(together)))
+
+
+def source_pairs(sets: DataFrame, *keep: str) -> DataFrame:
+    """Each pair of `sources` (a < b) of each row with the columns `keep`; the pairs of a long row are spread by chunks."""
+    rows = sets.where(F.size("sources") > 1).withColumn("sources", F.array_sort("sources"))
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size("sources") / PAIR_CHUNK).cast("int") - 1), lambda k: F.slice("sources", k * PAIR_CHUNK + 1, PAIR_CHUNK))
+    rows = rows.withColumn("chunks", chunks).select(*keep, "chunks", F.posexplode("chunks").alias("i", "x"))
+    rows = rows.select(*keep, "x", F.explode(F.slice("chunks", F.col("i") + 1, F.size("chunks"))).alias("y"))
+    rows = rows.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(*keep, "y", F.explode("x").alias("a")).select(*keep, "a", F.explode("y").alias("b")).where("a < b")
+
+
+class _Tables:
+    """The same for any number of sources, as tables: accuracy (source, accuracy) and loss (a, b, later, loss).
+
+    `later` is the one of the two whose vote is counted after the other's, `loss` the logarithm of what that leaves of it.
+    """
+
+    def __init__(self):
+        self.accuracy = self.loss = None
+
+    def scored(self, values: DataFrame) -> DataFrame:
+        key = ["field", "group_id", "value"]
+        vote = lambda a: F.log(FALSE_VALUES * a / (1 - a))
+        if self.loss is None:
+            return values.withColumn("score", F.col("prior") + F.col("weight") * F.size("sources") * vote(F.lit(UNKNOWN)))
+        lost = source_pairs(values, *key).join(self.loss, ["a", "b"]).groupBy(*key, F.col("later").alias("source")).agg(F.sum("loss").alias("loss"))
+        votes = values.select(*key, F.explode("sources").alias("source")).join(lost, [*key, "source"], "left")
+        if self.accuracy is not None:
+            votes = votes.join(self.accuracy, "source")
+        weight = vote(F.col("accuracy") if self.accuracy is not None else F.lit(UNKNOWN))
+        total = votes.groupBy(*key).agg(F.sum(F.exp(F.coalesce("loss", F.lit(0.0))) * weight).alias("total"))
+        # rounded, so that equal votes are equal in whatever order they are added
+        return values.join(total, key).withColumn("score", F.round(F.col("prior") + F.col("weight") * F.col("total"), 9)).drop("total")
+
+    def learn(self, out: DataFrame, counts: DataFrame, trusted: bool) -> None:
+        if trusted:
+            seen = out.select("posterior", F.explode("sources").alias("source")).groupBy("source").agg(F.avg("posterior").alias("p"), F.count("*").alias("n"))
+            mean = (F.col("p") * F.col("n") + UNKNOWN * UNKNOWN_CLAIMS) / (F.col("n") + UNKNOWN_CLAIMS)
+            self.accuracy = materialize(seen.select("source", F.least(F.lit(0.98), F.greatest(F.lit(0.3), mean)).alias("accuracy")), "accuracies")
+        false, true, both = (F.count(F.when(F.col("kind") == k, 1)).cast("double") for k in range(3))
+        pairs = source_pairs(counts, "kind").groupBy("a", "b").agg(false.alias("false"), true.alias("true"), both.alias("both"))
+        if trusted:
+            of = lambda s: self.accuracy.select(F.col("source").alias(s), F.col("accuracy").alias("accuracy_" + s))
+            pairs = pairs.join(of("a"), "a").join(of("b"), "b")
+        else:
+            pairs = materialize(pairs.withColumns({"true": F.col("false") + F.col("true"), "false": F.lit(0.0)}), "source-pairs")
+            agree = pairs.agg(F.median(F.col("true") / F.col("both"))).first()[0]
+            a = UNKNOWN if agree is None else float(np.clip(np.sqrt(agree), 0.5, 0.98))
+            pairs = pairs.withColumns({"accuracy_a": F.lit(a), "accuracy_b": F.lit(a)})
+        a, b = F.col("accuracy_a"), F.col("accuracy_b")
+        # as in dependence()
+        same_true, same_false = a * b, (1 - a) * (1 - b) / FALSE_VALUES
+        copy_true, copy_false = COPIES * (a + b) / 2 + (1 - COPIES) * same_true, COPIES * (1 - (a + b) / 2) + (1 - COPIES) * same_false
+        differ = F.greatest(F.col("both") - F.col("false") - F.col("true"), F.lit(0.0))
+        gain = F.col("false") * F.log(copy_false / same_false) + F.col("true") * F.log(copy_true / same_true) + differ * float(np.log(1 - COPIES))
+        sure = F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.lit(float(np.log(DEPENDENT / (1 - DEPENDENT)))) + gain))
+        loss = F.log1p(-COPIES / (1 + F.exp(-sure)))
+        self.loss = materialize(pairs.select("a", "b", F.when(a >= b, F.col("b")).otherwise(F.col("a")).alias("later"), loss.alias("loss")), "losses")
+
+
 def fuse(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Posterior of every value of every item: field, group_id, value, records, posterior, best.
 
@@ -166,15 +256,13 @@ def fuse(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.collect_set("source").alias("sources"), F.countDistinct("record_id").alias("records"), F.max("prior").alias("prior"), F.max("weight").alias("weight")
     )
     values = materialize(values, "fusion-values")
-    often = values.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
-    names = sorted(r.source for r in often.orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect())
-    index, size = {s: i for i, s in enumerate(names)}, len(names)
-    named = F.create_map(*[F.lit(x) for s, i in index.items() for x in (s, i)]) if names else F.create_map().cast("map<string,int>")
-    accuracy, depends = np.full(size + 1, 0.7), np.zeros((size + 1, size + 1), np.float32)
+    names = sorted(r.source for r in values.select(F.explode("sources").alias("source")).distinct().limit(MAX_SOURCES + 1).collect())
+    known = _Matrices(values, names) if len(names) <= MAX_SOURCES else _Tables()
     out = values
     for turn in range(rounds):
-        shared = values.sparkSession.sparkContext.broadcast((index, accuracy.copy(), depends.copy()))
-        scored = values.withColumn("score", _votes(shared)("sources", "weight", "prior"))
+        scored = known.scored(values)
+        if isinstance(known, _Tables):
+            scored = materialize(scored, f"fusion-scores-{turn}")
         top = scored.groupBy(*item).agg(F.max(F.struct("score", "records", F.col("value").alias("best_value"))).alias("b"), F.collect_list("score").alias("scores"))
         # all scores beside that of NONE; their number is that of the different values of one item
         peak = F.greatest(F.col("b.score"), F.lit(NONE))
@@ -187,22 +275,10 @@ def fuse(claims: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if turn == rounds - 1 or not names:
             break
         out = materialize(out, f"fusion-{turn}")
-        number = F.coalesce(F.try_element_at(named, F.col("source")), F.lit(size))
-        # the first votes may follow the copiers: what they say of accuracies isn't used, only who agrees with whom
-        seen = [] if not turn else out.select("posterior", F.explode("sources").alias("source")).groupBy(number.alias("i")).agg(F.avg("posterior").alias("a"), F.count("*").alias("n")).collect()
-        for r in seen:
-            accuracy[r.i] = min(0.98, max(0.3, (r.a * r.n + 0.7 * 4) / (r.n + 4)))
         both = out.groupBy(*item).agg(F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources")).select("sources", F.lit(2).alias("kind"))
         counts = out.select("sources", F.col("best").cast("int").alias("kind")).unionByName(both).where(F.size("sources") > 1)
-        counts = counts.mapInPandas(_pair_counts(index, size), "kind int, a int, b int, n double").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-        together = np.zeros((3, size, size))
-        for r in counts:
-            together[r.kind, r.a, r.b] = together[r.kind, r.b, r.a] = r.n
-        if turn:
-            depends[:size, :size] = dependence(together, accuracy[:size])
-        else:
-            together[1] += together[0]
-            depends[:size, :size] = dependence(together * [[[0.0]], [[1.0]], [[1.0]]], np.full(size, _accuracy_by_agreement(together)))
+        # the first votes may follow the copiers: what they say of accuracies isn't used, only who agrees with whom
+        known.learn(out, counts, trusted=turn > 0)
     return out
 
 

@@ -1,6 +1,7 @@
 """The methods against brute force, round trips and held-out rows."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import Row
 
 from tidemark.llm import fusion, history, language, mixing, places, safety, tokens, tries, turns
 from tidemark.llm.names import parse, slips_allowed
-from tidemark.llm.spelling import grams, sound, within, within_many
+from tidemark.llm.spelling import grams, plain, sound, within, within_many
 from tidemark.llm.tries import trie_join
 from tidemark.session import table
 
@@ -68,6 +69,29 @@ def test_trie_join_equals_all_pairs(spark):
         tries.SPLIT, tries.PORTION = keep
 
 
+def test_memory_of_a_trie_walk_is_bounded(monkeypatch):
+    rng = random.Random(8)
+    known = sorted({"".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(20_000)})
+    typed = [spoil(w, rng, 2) for w in rng.sample(known, 400)]
+    trie = tries.Tries(np.zeros(len(known), np.int64), known)
+    visits = (np.zeros(len(typed), np.int64), tries.code_points(typed), np.array([len(w) for w in typed], np.int32), np.full(len(typed), 3, np.uint8))
+    tracemalloc.start()
+    want = {(int(v), known[w], int(d)) for some in trie.walk(*visits) for v, w, d in zip(*some, strict=True)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    monkeypatch.setattr(tries, "STATES", 1000)
+    got = [(int(v), known[w], int(d)) for some in trie.walk(*visits) for v, w, d in zip(*some, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    some = rng.sample(range(len(typed)), 20)
+    assert {x for x in want if x[0] in some} == {(v, w, levenshtein(typed[v], w)) for v in some for w in known if abs(len(w) - len(typed[v])) <= 3 and levenshtein(typed[v], w) <= 3}
+
+
+def test_names_kept_by_a_worker_are_bounded():
+    for f in (parse, plain, sound):
+        assert f.cache_info().maxsize <= 20_000  # four of 200,000 took 230 MB of a worker
+
+
 def test_bounded_distance_counts_a_transposition_once():
     assert within("abcd", "abdc", 2) == 1 and within("abcd", "wxyz", 2) == 3 and within("", "ab", 3) == 2
 

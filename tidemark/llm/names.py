@@ -7,7 +7,7 @@ from functools import lru_cache
 from itertools import permutations
 from typing import NamedTuple
 
-from tidemark.llm.spelling import plain, sound, within
+from tidemark.llm.spelling import CACHED, plain, sound, within
 
 # Kinds of establishment and the words that people type for them.
 KINDS = {
@@ -74,7 +74,7 @@ _ORDER = {" ".join(phrase): k for k, (phrase, _) in reversed(list(enumerate(_PHR
 _BY_PLACE = [{size: sorted({p[at] for p, _ in _PHRASES if len(p) == size}) for size in (1, 2)} if not at else {2: sorted({p[1] for p, _ in _PHRASES if len(p) == 2})} for at in (0, 1)]
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHED)
 def _near_forms(word: str, at: int, size: int) -> frozenset[str]:
     """The words that stand at a place of a kind's phrase of this size and that `word` is a spelling of."""
     least = 3 if size > 1 else 4
@@ -105,7 +105,7 @@ def _kind_at(words: list[str]) -> tuple[int, int, str] | None:
     return None
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHED)
 def parse(name: str | None) -> Name:
     """The parts of a typed name; an empty core for null, blank and generic names."""
     if not name:

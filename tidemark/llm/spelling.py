@@ -8,6 +8,9 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Results that a function keeps: every Python worker has such a cache of each, so they are bounded by words in use, not by the input.
+CACHED = 20_000
+
 _MARKS = re.compile(r"[^\w\s]|_", re.UNICODE)
 _SPACE = re.compile(r"\s+")
 _DOUBLE = re.compile(r"(.)\1+")
@@ -16,7 +19,7 @@ _DOUBLE = re.compile(r"(.)\1+")
 _SOUNDS = (("ph", "f"), ("oo", "u"), ("ck", "k"), ("q", "k"), ("c", "k"), ("w", "v"), ("z", "s"), ("y", "i"), ("j", "i"))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHED)
 def plain(text: str | None) -> str:
     """Lower case, no accents, letters and digits with single spaces; '' for null."""
     if not text:
@@ -26,7 +29,7 @@ def plain(text: str | None) -> str:
     return _SPACE.sub(" ", _MARKS.sub(" ", text)).strip()
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=CACHED)
 def sound(text: str) -> str:
     """`text` (already plain, spaces dropped) by sound: doubled letters once, silent h dropped, like letters unified."""
     text = text.replace(" ", "")

@@ -108,6 +108,21 @@ def test_fuzzy_pairs_equal_all_pairs(spark):
     assert got == {(a, b) for a in names for b in names if a < b and score(a, b) >= 0.75}
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_fuzzy_pairs_by_pieces_equal_all_pairs(spark, monkeypatch, threshold):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 24))).strip() or "x" for _ in range(60)]
+    names = {x[:i] + y + x[i + d :] for x in base for i, y, d in [(rng.randrange(len(x)), rng.choice(["", "a", "zz"]), rng.randint(0, 2)) for _ in range(6)]} | set(base)
+    rows = [(g, n.strip()) for n in names for g in ("t", None) if n.strip()]
+    df = spark.createDataFrame(rows, "g string, n string")
+    found = lambda: [tuple(r) for r in pairs.fuzzy_pairs(df, ["g"], "n", threshold).collect()]
+    got = found()
+    crossed = pairs._names_with_a_piece(*(df.select("g", F.col("n").alias(c)) for c in "ab"), ["g"], threshold).count()
+    monkeypatch.setattr(pairs, "BY_PIECES", 2)
+    assert len(got) == len(set(got)) > 100 and set(got) == set(found())
+    assert crossed < len(rows) ** 2 / 20
+
+
 def test_upsert_is_idempotent(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tidemark.llm import fusion, history, language, mixing, places, safety, tokens, tries, turns
 from tidemark.llm.names import parse, slips_allowed
@@ -281,6 +282,53 @@ def test_bands_meet_across_a_missing_city():
     assert not set(history.band_keys(sign, 4, probe=True)) & set(history.band_keys(sign, 5))
 
 
+@pytest.mark.parametrize("slips", [0, 1, 2])
+def test_texts_within_the_slips_spared_share_a_key(slips):
+    rng = random.Random(slips)
+    pairs = []
+    while len(pairs) < 3000:
+        known = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 18)))
+        typed = list(spoil(known, rng, rng.randint(0, min(slips, len(known) - 1))))
+        if slips and len(typed) > 1 and rng.random() < 0.5:
+            i = rng.randrange(len(typed) - 1)
+            typed[i : i + 2] = typed[i + 1], typed[i]
+        if typed and within("".join(typed), known, slips) <= slips:
+            pairs.append(("".join(typed), known))
+    typed, known = (history.spared_keys(list(side), slips) for side in zip(*pairs, strict=True))
+    assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(typed, known, strict=True))
+
+
+def meetings(spark, typed, known):
+    """Meetings of typed and known texts (text, city_id, kind) in a key, and the pairs of texts that met."""
+    as_rows = lambda rows, probe: history.entries(spark.createDataFrame(rows, "text string, city_id long, kind string"), probe)
+    met = as_rows(typed, True).join(as_rows(known, False).select("key", F.col("text").alias("k_text")), "key").select("text", "k_text").collect()
+    return len(met), {tuple(r) for r in met}
+
+
+@pytest.mark.parametrize(("city", "most"), [(5, 0.05), (0, 0.01)])  # three slips count in one city and kind, a sixth of these pairs
+def test_names_of_no_relation_hardly_meet(spark, city, most):
+    names = [w for w in words(900, 21) if len(w) >= 8]
+    first, second = names[::2], names[1::2]
+    kinds = ["hotel", "museum", "", "cafe", "palace"]
+    typed, known = ([(w, city, kinds[k % 5]) for k, w in enumerate(side)] for side in (first, second))
+    count, _ = meetings(spark, typed, known)
+    assert count <= most * len(first) * len(second)
+
+
+def test_three_slips_meet_in_one_city_and_kind_and_two_anywhere(spark):
+    rng, known, far, near = random.Random(22), [], [], []
+    for w in (w for w in words(1500, 23) if len(w) >= 10):
+        three, two = spoil(w, rng, 3), spoil(w, rng, 2)
+        if within(three, w, 3) == 3 and within(two, w, 2) == 2:
+            known.append((w, 5, "hotel"))
+            far.append((three, 5, "hotel"))
+            near.append((two, 0, ""))
+    _, met = meetings(spark, far, known)
+    assert sum((a[0], b[0]) in met for a, b in zip(far, known, strict=True)) >= 0.93 * len(known)
+    _, met = meetings(spark, near, known)
+    assert all((a[0], b[0]) in met for a, b in zip(near, known, strict=True)) and len(known) > 200
+
+
 def test_batches_at_once_equal_batch_by_batch_on_one_index(spark, small, tmp_path):
     intake, canonical, spots = (table(spark, small, t) for t in ("entity_intake", "canonical_entities", "places"))
     every = table(spark, "/root/testdata/sf0.01", "entity_intake").where("batch_no <= 3")

@@ -1,11 +1,14 @@
 """Problem 4: new batches deduplicated against all history, without reprocessing the history.
 
-Method: persisted minwise band keys. Every text that an accepted record is known by is hashed once to minwise band keys
-(with its city, and in bands without it for pairs of which one has no city); the keys are kept with the text's minwise
-signature in an index partitioned by hash of the key. New rows compute their own keys, read only the parts of the index
-that hold one of them, and meet the entries of equal keys; a pair is verified by its signatures first, then by edit
-distance, kind and place; the records accepted as new are appended. Rows of one batch also meet each other; chains among
-them end at their first record.
+Method: persisted minwise band keys. Every text that an accepted record is known by is hashed once to keys, which are kept
+with the text's minwise signature in an index partitioned by hash of the key. New rows compute their own keys, read only
+the parts of the index that hold one of them, and meet the entries of equal keys; a pair is verified by its signatures
+first, then by edit distance, kind and place; the records accepted as new are appended. Rows of one batch also meet each
+other; chains among them end at their first record.
+
+The keys are as narrow as the rule that accepts a pair, so that texts of no relation hardly meet: three slips count only
+within one city and kind, so the minwise bands hold both; pairs of up to two slips, whatever their cities and kinds, meet
+in what is left of the two texts without as many letters, which misses none; forms meet only forms they may stand for.
 
 One call takes any number of batches: all are probed at once, and their verdicts are settled in order of batch, as if
 each batch had been offered by itself. A call to a folder that holds an index goes on from there.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,9 @@ from tidemark.session import cut_lineage, materialize, scratch_path
 #: Bands and rows of the keys within one city, and of those without a city.
 CITY_BANDS, CITY_ROWS = 32, 2
 FREE_BANDS, FREE_ROWS = 24, 2
+#: Letters at the end of a text (many begin with the same first name) of which up to SPARED are spared in the keys of pairs
+#: of up to SPARED slips.
+TAIL, SPARED = 11, 2
 #: Minwise hashes of a signature, of each of which the index keeps one bit (so half of the bits of two texts that share
 #: nothing agree), and the bits that may differ: an estimate of 0.06 shared letter pairs, where spellings have 0.3 or more.
 HASHES, BITS_APART = 128, 60
@@ -46,6 +53,7 @@ _RNG = np.random.default_rng(1234)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_POWERS = _RNG.integers(1, 1 << 63, TAIL + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -88,23 +96,91 @@ def band_keys(sign: np.ndarray, city: int, probe: bool = False) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
+@lru_cache(maxsize=50_000)
+def _salt(name: str) -> np.uint64:
+    return _mixed(np.array([zlib.crc32(name.encode()) + (1 << 40)], np.uint64))[0]
+
+
+@lru_cache(maxsize=64)
+def _left(size: int, spared: int) -> np.ndarray:
+    """The places of `size` letters that are left when `spared` are dropped: a row for each choice."""
+    rows = [[i for i in range(size) if i not in out] for out in combinations(range(size), spared)]
+    return np.array(rows, np.int64).reshape(len(rows), size - spared)
+
+
+def spared_keys(texts: list[str], spared: int) -> list[np.ndarray]:
+    """Hashes of what is left of the last TAIL letters of each text without 0 to `spared` of them.
+
+    Two texts within k edits, a swap of neighbours being one, have k letters each at most beyond what they share in order.
+    So have their tails: where d letters of one tail stand before the tail of the other, that other holds d letters more
+    of its own. So texts within `spared` edits have a hash in common, whatever the edits.
+    """
+    tails, out = [t[-TAIL:] for t in texts], [np.zeros(0, np.uint64)] * len(texts)
+    sizes = np.array([len(t) for t in tails], np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        codes = np.array([[ord(c) for c in tails[i]] for i in at], np.uint64).reshape(len(at), int(size))
+        made = []
+        for drop in range(min(spared, int(size)) + 1):
+            left = _left(int(size), drop)
+            made.append(_mixed((codes[:, left] * _POWERS[: left.shape[1]]).sum(axis=2, dtype=np.uint64) + _POWERS[-1:] * np.uint64(left.shape[1])))
+        for i, row in zip(at, np.concatenate(made, axis=1), strict=True):
+            out[i] = row
+    return out
+
+
+def _sought(form: str, text: str, turn: int, probe: bool) -> list[tuple[str, int]]:
+    """(class of keys, letters spared) of a text in a form: as the forms in _verified() may stand for each other."""
+    most = min(slips_allowed(len(text) + SPARED if probe else len(text)), SPARED)
+    if form != "full":
+        if form != "short":
+            return [(form, most)]
+        return [("exact", 0)] * (turn <= 1) if probe else [("short", 1)]
+    return [("full", most), ("short", int(len(text) >= 7))] if probe else [("full", most)]
+
+
+def text_keys(text: str, city: int, uses: list[tuple[str, str, int]], sign: np.ndarray, spared: list[np.ndarray], probe: bool) -> np.ndarray:
+    """All keys of a text with its `uses` (form, kind, turn), its signature, and spared_keys() for each number of letters."""
+    classes, out = set(), []
+    for form, kind, turn in uses:
+        classes.update(_sought(form, text, turn, probe))
+        if form == "full" and not kind and not probe:
+            classes.add(("exact", 0))
+    for name, most in classes:
+        out.append(_mixed(spared[most] ^ _salt(name)))
+    # a third slip counts in one city and kind only, and in a known text of ten letters or more
+    if city and len(text) >= (7 if probe else 10):
+        for kind in {kind for form, kind, _ in uses if form == "full" and kind}:
+            out.append(_mixed(band_keys(sign, city, probe)[:CITY_BANDS].view(np.uint64) ^ _salt("kind " + kind)))
+    return np.unique(np.concatenate(out).view(np.int64)) if out else np.zeros(0, np.int64)
+
+
 def _entries(probe: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 some = pdf.iloc[at : at + 2000]
-                signs = signatures(some["text"].tolist())
+                texts = some["text"].tolist()
+                signs = signatures(texts)
                 bits = (signs & np.uint64(1)).reshape(len(some), 2, 64)
                 packed = (bits * _WEIGHTS).sum(axis=2, dtype=np.uint64).astype(np.int64)
-                keys = [band_keys(s, int(c), probe) for s, c in zip(signs, some["city_id"], strict=True)]
+                spared = zip(*[spared_keys(texts, k) for k in range(SPARED + 1)], strict=True)
+                keys = [
+                    text_keys(t, int(c), [(u["form"], u["kind"], u["turn"]) for u in uses], s, list(left), probe)
+                    for t, c, uses, s, left in zip(texts, some["city_id"], some["uses"], signs, spared, strict=True)
+                ]
                 yield pd.DataFrame({"text": some["text"], "city_id": some["city_id"], "sign_a": packed[:, 0], "sign_b": packed[:, 1], "keys": keys})
 
     return run
 
 
 def entries(texts: DataFrame, probe: bool = False) -> DataFrame:
-    """Band keys and signatures of distinct texts (text, city_id): key, text, city_id, sign_a, sign_b."""
-    made = texts.select("text", "city_id").where("text <> ''").distinct().mapInPandas(
+    """Keys and signatures of distinct texts: key, text, city_id, sign_a, sign_b.
+
+    `texts` has text and city_id, and may have form, kind and turn; without them each text is a full one of no kind.
+    """
+    use = [F.col(c) if c in texts.columns else F.lit(v).alias(c) for c, v in (("form", "full"), ("kind", ""), ("turn", 0))]
+    made = texts.where("text <> ''").groupBy("text", "city_id").agg(F.collect_set(F.struct(*use)).alias("uses")).mapInPandas(
         _entries(probe), "text string, city_id long, sign_a long, sign_b long, keys array<long>"
     )
     return made.select(F.explode("keys").alias("key"), "text", "city_id", "sign_a", "sign_b")
@@ -193,10 +269,14 @@ class History:
 
 
 def near_texts(probes: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of a typed and a known text that meet in a key and are verified: text, city_id, k_text, k_city_id, slips."""
+    """Pairs of a typed and a known text that meet in a key and are verified: text, city_id, k_text, k_city_id, slips.
+
+    A text of another city is none; the keys of pairs of up to two slips hold no city.
+    """
     k = known.withColumnsRenamed({c: "k_" + c for c in ("text", "city_id", "sign_a", "sign_b")})
     apart = F.bit_count(F.col("sign_a").bitwiseXOR(F.col("k_sign_a"))) + F.bit_count(F.col("sign_b").bitwiseXOR(F.col("k_sign_b")))
-    met = probes.join(k, "key").where((apart <= BITS_APART) & _may_be_near()).select("text", "city_id", "k_text", "k_city_id").distinct()
+    places = (F.col("city_id") == F.col("k_city_id")) | (F.col("city_id") == 0) | (F.col("k_city_id") == 0)
+    met = probes.join(k, "key").where(places & (apart <= BITS_APART) & _may_be_near()).select("text", "city_id", "k_text", "k_city_id").distinct()
     return met.withColumn("slips", _slips("text", "k_text", _most_slips("k_text"))).where(F.col("slips") <= _most_slips("k_text"))
 
 

@@ -3,8 +3,10 @@
 import random
 import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -233,6 +235,32 @@ def test_language_of_held_out_documents(spark, small):
     assert language.code_of("en_GB") == "en" and language.code_of("Deutsch") == "de" and language.code_of("und") is None
 
 
+def test_segments_of_one_language_are_compared_together(spark, small, monkeypatch):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null and lang is not null").collect()
+    model = language.fit([(r.lang, r.text, 1.0) for r in docs])
+    rng = random.Random(5)
+    texts = [language.spoken_words(r.text) for r in docs]
+    pieces = [t[k : k + rng.randint(1, 30)] for t in texts for k in range(0, len(t), 30)]
+    mixed = [rng.choice(pieces) + rng.choice(pieces) for _ in range(300)]
+    odd = [[], ["qqqq"], ["\u0001xxyzzy", *texts[0][:4]], ["7"], max(texts, key=len) * 9, texts[1][:1]]
+    every = [p[:] for p in pieces + mixed + odd for _ in range(2)]
+    rng.shuffle(every)
+    alone = [model._runs(w) for w in every]
+    again, calls = language.fit([(r.lang, r.text, 1.0) for r in docs]), []
+    plain_runs = language.Centroids._runs
+    monkeypatch.setattr(language.Centroids, "_runs", lambda self, w: calls.append(w) or plain_runs(self, w))
+    monkeypatch.setattr(language, "AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(language, "KEPT_WORDS", 800, raising=False)  # words are forgotten on the way
+    monkeypatch.setattr(language, "cut_segment", lambda text, _: [(0, text)])
+    monkeypatch.setattr(language, "spoken_words", str.split)
+    batch = pa.RecordBatch.from_pydict({"v": ["v"] * len(every), "s": pa.array(range(len(every)), pa.int32()), "t": [" ".join(w) for w in every], "c": [""] * len(every)})
+    got = next(language._detect(SimpleNamespace(value=again), True)(iter([batch]))).to_pydict()
+    want = [(k, model.languages[b], len(w), round(min(1.0, 0.5 + lead), 4), " ".join(w).replace("\u0001", "")) for k, runs in enumerate(alone) for b, w, cosine, lead in runs if cosine >= language.MIN_COSINE]
+    assert list(zip(*(got[c] for c in ("segment_index", "lang", "words", "confidence", "text")), strict=True)) == want and len(want) > 500
+    changes = {" ".join(w) for w, runs in zip(every, alone, strict=True) if len(runs) > 1 or len(w) > 64}
+    assert changes and len(calls) < 3 * len(changes) and len(calls) < len({" ".join(w) for w in every}) / 2
+
+
 def test_severity_separates_disguised_insults():
     said = [("You are a stupid idiot and nobody wants you here", "abusive"), ("The soup was great", "none"), ("We walked to the bridge", "none"), ("Send me nudes I am so horny", "sexual")] * 3
     model = safety.fit([(t + f" {'x' * k}", Counter([c])) for k, (t, c) in enumerate(said)])

@@ -44,6 +44,10 @@ MIN_COSINE = 0.08
 SWITCH = 2.6
 #: Words that a run must have to count as spoken in another language.
 MIN_RUN = 3
+#: Words up to which a segment is compared together with others, and words compared at once.
+TOGETHER, AT_ONCE = 64, 30_000
+#: Words and word sequences that a worker keeps.
+KEPT_WORDS, KEPT_RUNS = 300_000, 200_000
 
 # Names and codes of languages, ISO 639 two- and three-letter codes, English and own names.
 LANGUAGE_NAMES = {
@@ -116,20 +120,38 @@ class Centroids:
 
     def __init__(self, languages: list[str], owner: np.ndarray, vocab: dict[str, int], idf: np.ndarray, matrix: np.ndarray, known: frozenset[str]):
         self.languages, self.owner, self.vocab, self.idf, self.matrix, self.known = languages, owner, vocab, idf, matrix, known
-        self.words: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
         # centroids of a language lie together, so that a language's best is one slice's maximum
         order = np.argsort(owner, kind="stable")
         self.owner, self.matrix = owner[order], np.ascontiguousarray(matrix[:, order]) if len(order) else matrix
         self.starts = np.searchsorted(self.owner, np.arange(len(languages)))
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word and no sequence met; a word's row in the tables is its number in `words`."""
+        self.words: dict[str, int] = {}
         self.met: dict[str, list[tuple[int, list[str], float, float]]] = {}
+        self._tables(0)
+
+    def _tables(self, room: int) -> None:
+        shapes = {"dots": (np.float32, len(self.owner)), "bys": (np.float32, len(self.languages)), "gains": (np.float32, len(self.languages))}
+        tables = {name: np.zeros((room, width), kind) for name, (kind, width) in shapes.items()}
+        tables |= {"tops": np.zeros(room, np.float32), "squares": np.zeros(room)}
+        for name, table in tables.items():
+            table[: len(self.words)] = getattr(self, name)[: len(self.words)] if self.words else 0
+            setattr(self, name, table)
 
     def __getstate__(self):
-        return self.__dict__ | {"words": {}, "met": {}}
+        made = {"words", "met", "dots", "bys", "gains", "tops", "squares"}
+        return {k: v for k, v in self.__dict__.items() if k not in made}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._forget()
 
-    def word(self, word: str) -> tuple[np.ndarray, np.ndarray, float]:
-        """Dot products with the centroids, cosine by language, squared length; zeros for a name."""
-        found = self.words.get(word)
-        if found is None:
+    def _row(self, word: str) -> int:
+        """The word's row: dot products with the centroids, cosine by language, squared length; zeros for a name."""
+        row = self.words.get(word)
+        if row is None:
             name = word[:1] == "\u0001"
             bare = word[1:] if name else word
             dot, square = np.zeros(len(self.owner), np.float32), 0.0
@@ -140,18 +162,30 @@ class Centroids:
                     dot = weights @ self.matrix[ids]
                     square = float(weights @ weights)
             by = np.maximum(np.maximum.reduceat(dot, self.starts), 0) / (square**0.5 or 1.0)
-            if len(self.words) > 300_000:
-                self.words.clear()
-            found = self.words[word] = (dot, by, square)
-        return found
+            row = len(self.words)
+            if row == len(self.tops):
+                self._tables(max(1024, 2 * row))
+            self.dots[row], self.bys[row], self.squares[row] = dot, by, square
+            # a word's evidence: its lag behind the best language, weighed by how clear the word is at all
+            self.tops[row] = top = by.max(initial=0)
+            self.gains[row] = (by - top) / np.maximum(top, 0.05)
+            self.words[word] = row
+        return row
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of words, good until the next call."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = {}
+            self._tables(0)
+        return np.array([self._row(w) for w in words], np.int64)
 
     def nearest(self, words: list[str]) -> tuple[int, float, float]:
         """Language of the nearest centroid, its cosine, and its lead over the next language (0 to 1)."""
-        known = [self.word(w) for w in words]
-        square = sum(k[2] for k in known)
+        rows = self._rows(words)
+        square = sum(self.squares[rows].tolist())
         if not square:
             return 0, 0.0, 0.0
-        dot = np.add.reduce([k[0] for k in known])
+        dot = np.add.reduce(self.dots[rows])
         by = np.maximum(np.maximum.reduceat(dot, self.starts), 0) / square**0.5
         best = int(by.argmax())
         top = float(by[best])
@@ -159,25 +193,76 @@ class Centroids:
         return best, top, (top - float(by.max())) / top if top > 0 else 0.0
 
     def runs(self, words: list[str]) -> list[tuple[int, list[str], float, float]]:
-        """Runs of one language: (language, words, cosine, lead); kept for word sequences met before."""
-        key = " ".join(words)
-        found = self.met.get(key)
-        if found is None:
-            if len(self.met) > 200_000:
-                self.met.clear()
-            found = self.met[key] = self._runs(words)
-        return found
+        """Runs of one language: (language, words, cosine, lead)."""
+        return self.runs_of([words])[0]
+
+    def runs_of(self, sequences: list[list[str]]) -> list[list[tuple[int, list[str], float, float]]]:
+        """runs() of every word sequence; kept for those met before, and new ones are compared many at once."""
+        if len(self.met) > KEPT_RUNS:
+            self.met.clear()
+        keys = [" ".join(words) for words in sequences]
+        new = {key: words for key, words in zip(keys, sequences, strict=True) if key not in self.met}
+        some: dict[str, list[str]] = {}
+        size = 0
+        for key, words in new.items():
+            if len(words) > TOGETHER:
+                self.met[key] = self._runs(words)
+                continue
+            some[key] = words
+            size += len(words)
+            if size >= AT_ONCE:
+                self.met.update(zip(some, self._together(list(some.values())), strict=True))
+                some, size = {}, 0
+        self.met.update(zip(some, self._together(list(some.values())), strict=True))
+        return [self.met[key] for key in keys]
+
+    def _together(self, sequences: list[list[str]]) -> list[list[tuple[int, list[str], float, float]]]:
+        """_runs() of sequences, those of one language all at once: word by word, so sums are the same as of each alone."""
+        count = len(sequences)
+        out: list[list[tuple[int, list[str], float, float]]] = [[] for _ in sequences]
+        if not any(sequences) or not self.languages:
+            return out
+        rows = self._rows([w for words in sequences for w in words])
+        at = np.repeat(np.arange(count), [len(words) for words in sequences])
+        keep = self.tops[rows] > 0
+        rows, at = rows[keep], at[keep]
+        sizes = np.bincount(at, minlength=count)
+        order = np.argsort(-sizes, kind="stable")
+        longer = np.cumsum(np.bincount(sizes)[::-1])[::-1]  # sequences of so many words or more
+        first = (np.cumsum(sizes) - sizes)[order]
+        dot = np.zeros((count, len(self.owner)), np.float32)
+        total = np.zeros((count, len(self.languages)), np.float32)
+        square = np.zeros(count)
+        for j, n in enumerate(longer[1:].tolist()):
+            word = rows[first[:n] + j]
+            dot[:n] += self.dots[word]
+            total[:n] += self.gains[word]
+            square[:n] += self.squares[word]
+        by = np.maximum(np.maximum.reduceat(dot, self.starts, axis=1), 0) / np.maximum(np.sqrt(square), 1e-30).astype(np.float32)[:, None]
+        best = by.argmax(axis=1)
+        top = by[np.arange(count), best].astype(float)
+        by[np.arange(count), best] = 0
+        lead = np.divide(top - by.max(axis=1), top, out=np.zeros(count), where=top > 0)
+        one = total.max(axis=1).astype(float) > -SWITCH
+        ends = np.cumsum([len(words) for words in sequences])
+        for i, n, alone, *found in zip(*(x.tolist() for x in (order, sizes[order], ~one, best, top, lead)), strict=True):
+            said = sequences[i]
+            if n and alone:
+                out[i] = self._runs(said)
+            elif n:
+                if n < len(said):
+                    said = [w for w, k in zip(said, keep[ends[i] - len(said) : ends[i]].tolist(), strict=True) if k]
+                out[i] = [(found[0], said, found[1], found[2])]
+        return out
 
     def _runs(self, words: list[str]) -> list[tuple[int, list[str], float, float]]:
         if not words or not self.languages:
             return []
-        by = np.array([self.word(w)[1] for w in words])
-        top = by.max(axis=1)
-        keep = top > 0
+        rows = self._rows(words)
+        keep = self.tops[rows] > 0
         if not keep.any():
             return []
-        # a word's evidence: its lag behind the best language, weighed by how clear the word is at all
-        gain = (by[keep] - top[keep][:, None]) / np.maximum(top[keep], 0.05)[:, None]
+        gain = self.gains[rows[keep]]
         said = [w for w, k in zip(words, keep, strict=True) if k]
         n, m = gain.shape
         total = gain.sum(axis=0)
@@ -309,11 +394,14 @@ def _detect(shared, texts: bool):
         codes = [str(c) for c in centroids.languages]
         for batch in batches:
             videos, indexes, langs, words, confidence, said_texts = [], [], [], [], [], []
-            columns = (batch.column(k).to_pylist() for k in range(4))
-            for video, index, text, credits in zip(*columns, strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            heard = []
+            for text, credits in zip(*columns[2:], strict=True):
                 parts = cut_segment(text, _speakers(credits))
                 spoken_text = parts[0][1] if len(parts) == 1 else " ".join(p for _, p in parts)
-                for best, said, cosine, lead in centroids.runs(spoken_words(spoken_text)):
+                heard.append(spoken_words(spoken_text))
+            for video, index, spoken_runs in zip(columns[0], columns[1], centroids.runs_of(heard), strict=True):
+                for best, said, cosine, lead in spoken_runs:
                     if cosine >= MIN_COSINE:
                         videos.append(video)
                         indexes.append(index)
